@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from covergrid.operators.salting import skew_join
 from covergrid.session import materialise
 
-PAD = r"^[ \t\r\n]+|[ \t\r\n]+\z"
+PAD = " \t\r\n"
 #: The fixed fields of the table, with their types.
 FIXED = {
     "file": "string", "time": "double", "n": "int", "m": "int", "solsize": "int", "recsteps": "bigint", "finished": "int",
@@ -25,7 +25,7 @@ KINDS = ("whole", "decimal", "bool", "text")
 
 
 def _cells(value):
-    return F.transform(F.split(value, ";"), lambda c: F.regexp_replace(c, PAD, ""))
+    return F.transform(F.split(value, ";"), lambda c: F.btrim(c, F.lit(PAD)))
 
 
 def kind_of(v):
@@ -44,7 +44,7 @@ class DriftReader:
     Line 1 of a load is its header; a load without one has no fields. Null
     lines are skipped. A cell beyond the header has the path ``#position`` and
     is no field; a missing cell is empty. If a header repeats a name, the first
-    counts. Loads of one campaign are ordered by ``written_at``, then by
+    counts (the others are blanked once, in the header). Loads of one campaign are ordered by ``written_at``, then by
     ``load_id``; loads without a campaign are compared with nothing. Repeated
     lines count as often as they stand there. Further columns are ignored.
     """
@@ -53,6 +53,8 @@ class DriftReader:
         base = lines.select("load_id", "campaign", "written_at", F.col("line_no").cast("bigint").alias("line_no"), "value").where("value IS NOT NULL AND load_id IS NOT NULL")
         self.lines = base
         heads = base.where("line_no = 1").groupBy("load_id").agg(F.min(F.struct(_cells(F.col("value")).alias("names"))).alias("h")).select("load_id", F.col("h.names").alias("names"))
+        once = F.transform("names", lambda x, i: F.when(F.array_position(F.col("names"), x) == i + 1, x).otherwise(F.lit("")))
+        heads = heads.select("load_id", once.alias("names"))
         loads = base.groupBy("load_id").agg(F.min("campaign").alias("campaign"), F.min("written_at").alias("written_at"))
         order = Window.partitionBy("campaign").orderBy("written_at", "load_id")  # a row per load
         self.loads = materialise(
@@ -60,8 +62,10 @@ class DriftReader:
             .withColumn("prev_id", F.when(F.col("campaign").isNotNull(), F.lag("load_id").over(order)))
             .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
         )
-        body = base.where("line_no > 1").select("load_id", "line_no", _cells(F.col("value")).alias("cells"))
-        self.rows = skew_join(body, self.loads.select("load_id", "names"), ["load_id"], F.col("line_no"))
+        # lines travel as they are; they are cut into cells behind the shuffle
+        body = base.where("line_no > 1").select("load_id", "line_no", "value")
+        named = skew_join(body, self.loads.select("load_id", "names"), ["load_id"], F.col("line_no"))
+        self.rows = materialise(named.select("load_id", "line_no", "names", _cells(F.col("value")).alias("cells")))
 
     def fields(self) -> DataFrame:
         """``load_id, path, position`` of each header, empty names left out."""
@@ -72,12 +76,18 @@ class DriftReader:
             .agg(F.min("position").alias("position"))
         )
 
-    def values(self) -> DataFrame:
-        """``load_id, line_no, graph, path, value`` of each cell under a name."""
+    def values(self, wanted: DataFrame | None = None) -> DataFrame:
+        """``load_id, line_no, graph, path, value`` of each cell under a name;
+        only of the ``load_id, path`` wanted, if given. What isn't wanted is
+        dropped before rows become cells."""
         pairs = F.arrays_zip(F.col("names").alias("names"), F.col("cells").alias("cells"))
-        first = F.transform("names", lambda x, i: F.array_position(F.col("names"), x) == i + 1)
-        flat = self.rows.select("load_id", "line_no", F.element_at("cells", 1).alias("graph"), F.col("names"), first.alias("first"), F.posexplode(pairs).alias("at", "p"))
-        return flat.where("at < size(names) AND first[at] AND p.names <> ''").select("load_id", "line_no", "graph", F.col("p.names").alias("path"), F.coalesce("p.cells", F.lit("")).alias("value"))
+        rows = self.rows
+        if wanted is not None:
+            per_load = materialise(wanted.groupBy("load_id").agg(F.collect_set("path").alias("want")))  # a header's names at most
+            rows = skew_join(rows, per_load, ["load_id"], F.col("line_no"))
+            pairs = F.filter(pairs, lambda p: F.array_contains("want", p["names"]))
+        flat = rows.select("load_id", "line_no", F.element_at("cells", 1).alias("graph"), F.inline(pairs))
+        return flat.where("names <> ''").select("load_id", "line_no", "graph", F.col("names").alias("path"), F.coalesce("cells", F.lit("")).alias("value"))
 
     def statistics(self) -> DataFrame:
         """Counts of each kind by load and path, and the kind that more than
@@ -105,9 +115,11 @@ class DriftReader:
         new = status.where("in_old IS NULL").select("load_id", "prev_id", "path")
         # both names are needed for a rename: only such pairs of loads read their values again
         both = gone.select("load_id").distinct().join(new.select("load_id").distinct(), "load_id")
-        values = self.values().select("load_id", "graph", "path", "value")
-        had = values.withColumnRenamed("load_id", "prev_id").join(gone.join(both, "load_id", "left_semi"), ["prev_id", "path"]).select("load_id", "graph", F.col("path").alias("old_name"), "value").distinct()
-        has = values.join(new.join(both, "load_id", "left_semi"), ["load_id", "path"]).select("load_id", "graph", F.col("path").alias("new_name"), "value").distinct()
+        old_want = gone.join(both, "load_id", "left_semi")
+        old_values = self.values(old_want.select(F.col("prev_id").alias("load_id"), "path"))
+        after = pairs.select(F.col("prev_id").alias("before"), F.col("load_id").alias("now"))
+        had = skew_join(old_values, after.withColumnRenamed("before", "load_id"), ["load_id"], F.col("line_no")).select(F.col("now").alias("load_id"), "graph", F.col("path").alias("old_name"), "value").distinct()
+        has = self.values(new.join(both, "load_id", "left_semi").select("load_id", "path")).select("load_id", "graph", F.col("path").alias("new_name"), "value").distinct()
         had, has = materialise(had), materialise(has)
         common = had.select("load_id", "graph").distinct().join(has.select("load_id", "graph").distinct(), ["load_id", "graph"])
         n_old = had.join(common, ["load_id", "graph"], "left_semi").groupBy("load_id", "old_name").agg(F.count(F.lit(1)).alias("n_old"))
@@ -152,8 +164,8 @@ class DriftReader:
         named = named.withColumn("target", F.when(F.col("target").isNotNull() & (F.row_number().over(once) == 1), F.col("target")))
         per_load = named.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.coalesce("target", F.concat(F.lit("+"), "path"))))).alias("to"))  # a header's names
         rows = skew_join(self.rows, per_load, ["load_id"], F.col("line_no"), "left")
-        cell = F.transform("names", lambda x, i: F.struct(F.element_at("to", x).alias("k"), F.coalesce(F.get("cells", i), F.lit("")).alias("v"), F.array_position(F.col("names"), x).alias("first"), (i + 1).alias("at")))
-        kept = F.filter(cell, lambda s: (s["first"] == s["at"]) & s["k"].isNotNull())
+        cell = F.transform("names", lambda x, i: F.struct(F.element_at("to", x).alias("k"), F.coalesce(F.get("cells", i), F.lit("")).alias("v")))
+        kept = F.filter(cell, lambda s: s["k"].isNotNull())
         kv = F.map_from_entries(F.transform(kept, lambda s: F.struct(s["k"], s["v"])))
         over = F.transform(F.sequence(F.size("names"), F.size("cells") - 1), lambda i: F.struct(F.concat(F.lit("+#"), (i + 1).cast("string")), F.get("cells", i)))
         kv = F.when(F.size("cells") > F.size("names"), F.map_concat(kv, F.map_from_entries(over))).otherwise(kv)
