@@ -93,6 +93,19 @@ def of_degree(e: DataFrame, d: int) -> DataFrame:
     return degrees(e).where(F.col("deg") == d).select("id")
 
 
+def first_of_degree(e: DataFrame, d: int) -> DataFrame:
+    return of_degree(e, d).orderBy("id").limit(1)
+
+
+def sorted_by_degree(e: DataFrame) -> DataFrame:
+    return degrees(e).orderBy("deg", "id")
+
+
+def names_of(ids: DataFrame, names: DataFrame) -> DataFrame:
+    """``id, name`` by a dictionary ``names(id, name)``."""
+    return ids.select("id").join(names.select("id", "name"), "id")
+
+
 def first_edge(e: DataFrame) -> DataFrame:
     return e.orderBy("u", "v").limit(1)
 
@@ -217,6 +230,13 @@ def components(e: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def reached(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id`` of all vertices in the components of ``ids(id)``."""
+    c = materialise(components(e))
+    own = c.join(ids.select("id"), "id", "left_semi").select("component").distinct()
+    return c.join(own, "component", "left_semi").select("id")
+
+
 def uncovered(e: DataFrame, cover: DataFrame) -> DataFrame:
     """Edges with no end in ``cover(id)``."""
     return delete_vertices(e, cover)

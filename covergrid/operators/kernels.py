@@ -242,6 +242,51 @@ def rule_lp(g: Graph, log: list) -> int | None:
     return len(one)
 
 
+def residual_components(g: Graph) -> list[list[int]]:
+    """Strongly connected components, in topological order from sinks, of the
+    residual graph of a maximum matching of the double cover: left vertex u
+    leads to the left partner of each neighbour. Tarjan's search on an explicit
+    stack."""
+    _, right = hopcroft_karp(g)
+    out: list[list[int]] = []
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_: list[int] = []
+    inside: set[int] = set()
+    for root in sorted(g):
+        if root in index:
+            continue
+        work = [(root, iter(sorted(g[root])))]
+        index[root] = low[root] = len(index)
+        open_.append(root)
+        inside.add(root)
+        while work:
+            u, near = work[-1]
+            for w in near:
+                x = right.get(w)
+                if x is None:
+                    continue
+                if x not in index:
+                    index[x] = low[x] = len(index)
+                    open_.append(x)
+                    inside.add(x)
+                    work.append((x, iter(sorted(g[x]))))
+                    break
+                if x in inside:
+                    low[u] = min(low[u], index[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
+                if low[u] == index[u]:
+                    part = []
+                    while not part or part[-1] != u:
+                        part.append(open_.pop())
+                        inside.discard(part[-1])
+                    out.append(sorted(part))
+    return out
+
+
 def _inner(g: Graph, near: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for i, a in enumerate(near) for b in near[i + 1 :] if b in g[a]]
 
@@ -365,25 +410,52 @@ def undo(log: list, cover: set[int]) -> set[int]:
     return cover
 
 
-#: Rules in the order they are tried, cheapest first; R6 and R7 are heavy.
-CHEAP = (rule_degree_one, rule_degree_two, lambda g, log: rule_degree_three(g, log, ("dominated",)), lambda g, log: rule_degree_three(g, log, ("edge",)))
-MIDDLE = (lambda g, log: rule_degree_four(g, log, ("dominated",)), rule_domination)
-HEAVY = (rule_unconfined, rule_lp)
-GROWING = (lambda g, log: rule_degree_three(g, log, ("independent",)), lambda g, log: rule_degree_four(g, log, ("cliques",)))
+def rule_degree_three_dominated(g: Graph, log: list) -> int | None:
+    return rule_degree_three(g, log, ("dominated",))
+
+
+def rule_degree_three_edge(g: Graph, log: list) -> int | None:
+    return rule_degree_three(g, log, ("edge",))
+
+
+def rule_degree_three_independent(g: Graph, log: list) -> int | None:
+    return rule_degree_three(g, log, ("independent",))
+
+
+def rule_degree_four_dominated(g: Graph, log: list) -> int | None:
+    return rule_degree_four(g, log, ("dominated",))
+
+
+def rule_degree_four_cliques(g: Graph, log: list) -> int | None:
+    return rule_degree_four(g, log, ("cliques",))
+
+
+#: Rules by name, in the order they are tried, cheapest first. R0 (isolated
+#: vertices) is implicit; R3 and R4 need a budget and belong to ``decide``.
+RULES = {
+    "R1": rule_degree_one, "R2": rule_degree_two, "R10": rule_degree_three_dominated, "R9": rule_degree_three_edge, "R8": rule_degree_three_independent,
+    "R11": rule_degree_four_cliques, "R12": rule_degree_four_dominated, "R5": rule_domination, "R6": rule_unconfined, "R7": rule_lp,
+}
+CHEAP = ("R1", "R2", "R10", "R9", "R12", "R5")
+HEAVY = ("R6", "R7")
+#: Rules that may add edges without lowering the optimum much, so they are
+#: applied a bounded number of times.
+GROWING = ("R8", "R11")
 
 
-def reduce(g: Graph, log: list, heavy: bool = True, growing: bool = False) -> int:
+def reduce(g: Graph, log: list, heavy: bool = True, growing: bool = False, rules: Iterable[str] | None = None) -> int:
     """Rules to a fixpoint, first applicable rule first; returns the decrease.
-    ``growing`` adds the rules that may add edges, a bounded number of times."""
-    rules = CHEAP + MIDDLE + (HEAVY if heavy else ()) + (GROWING if growing else ())
+    ``rules`` names them; else the cheap ones, with the ``heavy`` (unconfined,
+    half-integral) and the ``growing`` ones if asked for."""
+    order = tuple(rules) if rules is not None else CHEAP + (HEAVY if heavy else ()) + (GROWING if growing else ())
     total, left = 0, 2 * len(g)
     while g:
-        for r in rules:
-            if r in GROWING:
+        for name in order:
+            if name in GROWING:
                 left -= 1
                 if left < 0:
                     continue
-            dec = r(g, log)
+            dec = RULES[name](g, log)
             if dec is not None:
                 total += dec
                 break

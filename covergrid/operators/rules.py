@@ -265,6 +265,10 @@ class Kernel:
             empty = empty.unionByName(r.withColumn("round", F.lit(i)))
         return empty
 
+    def decided(self) -> DataFrame:
+        """``id`` of cover vertices that the log alone decides (``take``)."""
+        return self.log().where("kind = 'take'").select(F.explode("other").alias("id"))
+
     def undo(self, cover: DataFrame) -> DataFrame:
         out = cover.select("id")
         for r in reversed(self.rounds):

@@ -169,6 +169,23 @@ def first_valid_edge(spark, d):
     return G.first_edge(P.co(spark, d))
 
 
+@query(sql("co") + "SELECT id FROM d WHERE deg = 4 ORDER BY id LIMIT 1")
+def first_vertex_of_degree(spark, d):
+    return G.first_of_degree(P.co(spark, d), 4)
+
+
+@query(sql("spq") + "SELECT id, deg FROM d")
+def vertices_by_degree(spark, d):
+    return G.sorted_by_degree(P.spq(spark, d))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) * 2 + 1 AS id, n_name AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def cover_names(spark, d):
+    """Names of a cover of the star graph."""
+    names = table(spark, d, "nation").select((F.col("n_nationkey").cast("bigint") * 2 + 1).alias("id"), F.col("n_name").alias("name"))
+    return G.names_of(R.r1_batch(P.star(spark, d)), names)
+
+
 # --- mutations ---------------------------------------------------------------
 
 _S4 = "(SELECT id FROM d WHERE deg >= 4)"
@@ -407,6 +424,12 @@ def components(spark, d):
     return G.components(P.coq(spark, d))
 
 
+@query(sql("coq", _COMP, True) + "SELECT id FROM cc WHERE component IN (SELECT cc.component FROM cc JOIN d ON d.id = cc.id WHERE d.deg = 1)")
+def component_reach(spark, d):
+    e = P.coq(spark, d)
+    return G.reached(e, G.of_degree(e, 1))
+
+
 @query(sql("bg", _COMP, True) + "SELECT component, count(*) AS n FROM cc GROUP BY component")
 def component_sizes(spark, d):
     return G.components(P.bg(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -466,6 +489,12 @@ def kernel_fixpoint_size(spark, d):
     return G.counts(k.edges).select("n_vertices", "n_edges").crossJoin(R.decrease(k.log()).select(F.col("dec").alias("decided")))
 
 
+@query(sql("star") + "SELECT DISTINCT CASE WHEN u % 2 = 1 THEN u ELSE v END AS id FROM e")
+def cover_from_log(spark, d):
+    """Cover vertices that the undo log decides without the graph."""
+    return R.kernelize(P.star(spark, d)).decided()
+
+
 @query()
 def kernel_log(spark, d):
     return R.kernelize(P.coq(spark, d), ("R1", "R2", "R5", "R8_R9"), max_rounds=24).log().groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n"))

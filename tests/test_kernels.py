@@ -7,19 +7,7 @@ import pytest
 
 from covergrid.operators import kernels as K
 
-RULES = {
-    "R1": K.rule_degree_one,
-    "R2": K.rule_degree_two,
-    "R2 triangles": lambda g, log: K.rule_degree_two(g, log, False),
-    "R5": K.rule_domination,
-    "R6": K.rule_unconfined,
-    "R7": K.rule_lp,
-    "R8": lambda g, log: K.rule_degree_three(g, log, ("independent",)),
-    "R9": lambda g, log: K.rule_degree_three(g, log, ("edge",)),
-    "R10": lambda g, log: K.rule_degree_three(g, log, ("dominated",)),
-    "R11": lambda g, log: K.rule_degree_four(g, log, ("cliques",)),
-    "R12": lambda g, log: K.rule_degree_four(g, log, ("dominated",)),
-}
+RULES = {**K.RULES, "R2 triangles": lambda g, log: K.rule_degree_two(g, log, False)}
 #: Edges of Zachary's karate club, a public graph; optimum 14.
 KARATE = (
     "2-1 3-1 3-2 4-1 4-2 4-3 5-1 6-1 7-1 7-5 7-6 8-1 8-2 8-3 8-4 9-1 9-3 10-3 11-1 11-5 11-6 12-1 13-1 13-4 14-1 14-2 14-3 14-4 17-6 17-7 18-1 18-2 "
@@ -113,3 +101,29 @@ def test_long_path_doesnt_recurse_and_budget_is_honest():
 
 def test_empty():
     assert K.branch_and_bound({}) == (set(), True, 1) and K.lp_bound({}) == 0 and K.best_of({}, 2) == set() and K.local_search({}, set(), 5) == set()
+
+
+def test_residual_components_partition_the_vertices():
+    for g in graphs(100, 31):
+        parts = K.residual_components(g)
+        assert sorted(v for p in parts for v in p) == sorted(g)
+        _, right = K.hopcroft_karp(g)
+        place = {v: i for i, p in enumerate(parts) for v in p}
+        reach = {v: {right[w] for w in g[v] if w in right} for v in g}
+        assert all(place[x] <= place[v] for v in g for x in reach[v])  # sinks first
+        for p in parts:  # each vertex of a part reaches all of it
+            for v in p:
+                seen, todo = {v}, [v]
+                while todo:
+                    for x in reach[todo.pop()]:
+                        if x not in seen:
+                            seen.add(x)
+                            todo.append(x)
+                assert set(p) <= seen
+
+
+def test_named_rules():
+    g = K.build([(1, 2), (2, 3), (3, 4), (4, 5), (5, 1)])
+    h, log = K.copy(g), []
+    assert K.reduce(h, log, rules=["R1"]) == 0 and h == g
+    assert K.reduce(h, log, rules=["R1", "R2"]) == 3 and not h and len(K.undo(log, set())) == 3

@@ -57,3 +57,22 @@ def test_stream_of_edge_files(spark, tmp_path):
         q.awaitTermination(120)
         assert {r.id: r.deg for r in spark.table(f"deg{i}").collect()} == want
         (folder / "2.txt").write_text("d a\na b\n")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from covergrid import cli
+
+    path = tmp_path / "g.txt"
+    path.write_text("b a\na c\nb c\nc d\ne f\nf g\ng h\nh e\nz z\nbad\n")
+    url = f"file://{path}"
+    cli.main(["exact", url], spark)
+    out = capsys.readouterr().out.split("\n")
+    assert "#vc size: 5" in out and "#rejected lines: 1" in out and "z" in out
+    cli.main(["heuristic", url, "--method", "max"], spark)
+    assert "#vc size: 5" in capsys.readouterr().out
+    cli.main(["kernel", url], spark)
+    assert "#difference: 5" in capsys.readouterr().out
+    cli.main(["bounds", url], spark)
+    assert "#clique bound:" in capsys.readouterr().out
+    cli.main(["opb", url, "--out", f"file://{tmp_path}/opb"], spark)
+    assert X.read_opb(spark, f"file://{tmp_path}/opb/*").count() == 8
