@@ -217,13 +217,12 @@ def components(e: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         seen = skew_join(s, label.select(F.col("id").alias("v"), "component"), ["v"], F.col("u"), heavy=heavy)
         low = seen.groupBy(F.col("u").alias("id")).agg(F.min("component").alias("low"))
-        hooked = label.join(low, "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("was"))
-        hooked = materialise(hooked)
-        # a lower label for a vertex is one for the vertex that lent its name as label
-        root = hooked.groupBy(F.col("was").alias("id")).agg(F.min("component").alias("best"))
-        merged = materialise(hooked.join(root, "id", "left").select("id", F.least("component", F.coalesce("best", "component")).alias("component"), "was"))
-        jump = merged.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        jumped = materialise(merged.join(jump, "component", "left").select("id", F.coalesce("next", "component").alias("component"), "was"))
+        hooked = materialise(label.join(low, "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("was")))
+        # a lower label of a vertex is one for the vertex whose id was its label,
+        # and every vertex then takes over the label of its label
+        best = hooked.groupBy(F.col("was").alias("id")).agg(F.min("component").alias("best"))
+        after = hooked.join(best, "id", "left").select(F.col("id").alias("component"), F.least("component", F.coalesce("best", "component")).alias("next"))
+        jumped = materialise(hooked.join(after, "component").select("id", F.least("component", "next").alias("component"), "was"))
         label = jumped.select("id", "component")
         if jumped.where("component <> was").isEmpty():
             return label

@@ -279,12 +279,13 @@ class Kernel:
 RULES = {"R1": apply_r1, "R2": apply_r2, "R5": apply_r5, "R8_R9": apply_deg3}
 
 
-def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), max_rounds: int = 60) -> Kernel:
+def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), max_rounds: int = 60, enough: int = 0) -> Kernel:
     """Rules to a fixpoint, the first that applies first. R5 takes what R10 and
     R12 would take (both are dominations). ``max_rounds`` bounds the rounds, not
-    the work on any of them; what is left is left to the kernels."""
+    the work on any of them; at ``enough`` edges it stops early. What is left is
+    left to the kernels, which have the same rules."""
     e, rounds = materialise(e), []
-    while len(rounds) < max_rounds and not e.isEmpty():
+    while len(rounds) < max_rounds and e.count() > enough:
         for rule in order:
             out, log = RULES[rule](e)
             log = materialise(log)

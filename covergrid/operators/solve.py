@@ -18,6 +18,8 @@ from covergrid.operators import rules as R
 from covergrid.session import materialise
 
 KERNEL_EDGES = 500_000
+#: Edges below which rounds over DataFrames cost more than the kernels' own rules.
+ENOUGH = 100_000
 NODES = 300
 
 
@@ -130,14 +132,15 @@ class Solution:
         self.size = cover.count()
 
 
-def solve_exact(e: DataFrame, nodes: int = NODES, width: int = 16, kernel_edges: int = KERNEL_EDGES, loops: DataFrame | None = None) -> Solution:
-    """Minimum cover: reduce, split into components, branch and bound each; a
+def solve_exact(e: DataFrame, nodes: int = NODES, width: int = 16, kernel_edges: int = KERNEL_EDGES, loops: DataFrame | None = None, enough: int = ENOUGH) -> Solution:
+    """Minimum cover: reduce (down to ``enough`` edges at least), split into
+    components, branch and bound each; a
     component that isn't proven within its nodes is split into a frontier of
     subproblems that are searched in parallel, best known cover in hand.
     ``loops`` are vertices that any cover must hold."""
     if loops is not None:
         e = G.delete_vertices(e, loops)
-    kernel = R.kernelize(e)
+    kernel = R.kernelize(e, enough=min(enough, kernel_edges))
     small, large = _parts(kernel.edges, kernel_edges)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:

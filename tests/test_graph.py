@@ -92,7 +92,7 @@ def opt_by_part(edges):
 
 @pytest.mark.parametrize("rule", ["R1", "R2", "R5", "R8_R9"])
 def test_rule_batches_and_undo(spark, rule):
-    _, edges = disjoint(40, 11)
+    _, edges = disjoint(25, 11)
     e = frame(spark, edges)
     out, log = R.RULES[rule](e)
     left = [(r.u, r.v) for r in out.collect()]
@@ -121,10 +121,11 @@ def test_dominators_and_common_neighbours(spark):
 
 
 def test_exact_heuristic_and_bounds(spark):
-    _, edges = disjoint(40, 17)
+    _, edges = disjoint(15, 17)
     e, best = frame(spark, edges), sum(opt_by_part(edges).values())
-    s = S.solve_exact(e)
-    assert s.proven and s.size == best and G.uncovered(e, s.cover).count() == 0
+    for enough in (0, S.ENOUGH):
+        s = S.solve_exact(e, enough=enough)
+        assert s.proven and s.size == best and G.uncovered(e, s.cover).count() == 0
     for r in S.bounds(e).collect():
         assert r.value <= best
     for method in ("max", "min", "best", "search"):
