@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covergrid.session import materialise
+
 
 def seconds(time: Column) -> Column:
     """A time as a number; null if it is blank or text (crash messages, nan)."""
@@ -23,9 +25,21 @@ def sort_by_time(df: DataFrame, tie: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, file: str, order: list[str]) -> DataFrame:
-    """Running sum of the valid times within each result file."""
-    w = Window.partitionBy(file).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return valid(df).withColumn("total", F.sum("seconds").over(w))
+    """``total``: running sum of the valid times within each result file.
+
+    A file may be of any size: rows are range-partitioned by file and order, each
+    partition sums its own part of a file, and adds what the partitions before
+    it hold of that file (a row per file and partition). ``order`` should be
+    unique within a file; ties come in no fixed order.
+    """
+    keys = [file, *order]
+    placed = materialise(valid(df).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(file, "_part").agg(F.sum("seconds").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(file).orderBy("_part")) - F.col("_sum")).drop("_sum")
+    here = F.sum("seconds").over(Window.partitionBy(file, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.col(f"l.{file}").eqNullSafe(F.col(f"r.{file}")) & (F.col("l._part") == F.col("r._part"))
+    joined = placed.withColumn("_here", here).alias("l").join(before.alias("r"), own)
+    return joined.select("l.*", (F.col("_here") + F.col("_before")).alias("total")).drop("_part", "_here")
 
 
 def time_per_step(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in
     ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
     fresh temporary folder that is removed at exit."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not _LOCAL:

@@ -76,3 +76,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert "#clique bound:" in capsys.readouterr().out
     cli.main(["opb", url, "--out", f"file://{tmp_path}/opb"], spark)
     assert X.read_opb(spark, f"file://{tmp_path}/opb/*").count() == 8
+
+
+def test_running_total_over_many_partitions(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), i, rng.choice([str(rng.randrange(100)), "", None, "killed"])) for i in range(3000)]
+    rng.shuffle(rows)
+    want, sums = {}, {}
+    for f, i, t in sorted(rows, key=lambda r: r[1]):
+        if t and t != "killed":
+            sums[f] = sums.get(f, 0) + float(t)
+            want[i] = sums[f]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r.i: r.total for r in C.running_total(spark.createDataFrame(rows, "file string, i int, time string"), "file", ["i"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert got == want
