@@ -14,20 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def plain_number(c: Column) -> Column:
-    """Text of a time in a form that is equal exactly for equal times: null and
-    empty are one value; digits with at most one point between them lose zeros
-    that don't count, of any length; all else stays as it is."""
-    text = F.coalesce(c, F.lit(""))
-    whole = F.regexp_replace(F.regexp_extract(text, r"^0*([0-9]+?)(?:\.([0-9]*?)0*)?\z", 1), r"^\z", "0")
-    part = F.regexp_extract(text, r"^0*([0-9]+?)(?:\.([0-9]*?)0*)?\z", 2)
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?\z"), F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))).otherwise(text)
-
-
-def exact(c: Column) -> Column:
-    """Text that tells null from every value."""
-    return F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c.cast("string")))
+from covergrid.functions.text import exact, plain_number  # noqa: F401  (normal forms for ``fields``)
 
 
 def _merge(names: list[str], n_keys: int) -> "callable":

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covergrid.functions.text import kind_of
 from covergrid.operators.salting import skew_join
 from covergrid.session import materialise
 
@@ -28,16 +29,6 @@ def _cells(value):
     return F.transform(F.split(value, ";"), lambda c: F.btrim(c, F.lit(PAD)))
 
 
-def kind_of(v):
-    """Kind of a value that isn't empty."""
-    return (
-        F.when(v.rlike(r"^[+-]?[0-9]+\z"), "whole")
-        .when(v.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^[+-]?[0-9]+[eE][+-]?[0-9]+\z"), "decimal")
-        .when(F.lower(v).isin("true", "false"), "bool")
-        .otherwise("text")
-    )
-
-
 class DriftReader:
     """Lines ``(load_id, campaign, written_at, line_no, value)`` of CSV files.
 

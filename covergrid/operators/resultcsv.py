@@ -5,17 +5,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covergrid.functions.text import seconds
 from covergrid.session import materialise
 
 
-def seconds(time: Column) -> Column:
-    """A time as a number; null if it is blank or text (crash messages, nan)."""
-    return F.when(time.rlike(r"^[ ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ ]*\z"), F.trim(time).try_cast("double"))
-
-
 def valid(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumn("seconds", seconds(F.col(f"`{time}`"))).where("seconds IS NOT NULL")
 
