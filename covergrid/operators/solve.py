@@ -55,18 +55,20 @@ def matching(e: DataFrame, max_rounds: int = 200) -> DataFrame:
     return out if out is not None else e.limit(0)
 
 
-def greedy_rounds(e: DataFrame, max_rounds: int = 500) -> DataFrame:
+def greedy_rounds(e: DataFrame) -> DataFrame:
     """Distributed greedy cover ``id``: each round takes every vertex whose
-    (degree, then smaller id) is the greatest in its closed neighbourhood."""
-    left, cover = materialise(e), None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        d = G.degrees(left).select("id", F.struct("deg", (-F.col("id")).alias("neg")).alias("rank"))
+    (degree, then hash of id and round) is the greatest in its closed
+    neighbourhood, until no edge is left. The greatest of all is always taken,
+    so this ends; ties by hash let chains and grids go in few rounds whatever
+    the order of their ids."""
+    left, cover, k = materialise(e), None, 0
+    while not left.isEmpty():
+        d = G.degrees(left).select("id", F.struct("deg", F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("rank"))
         s = G.symmetric(left).join(d.select(F.col("id").alias("v"), F.col("rank").alias("rv")), "v").groupBy(F.col("u").alias("id")).agg(F.max("rv").alias("most"))
         top = materialise(d.join(s, "id").where("rank > most").select("id"))
         cover = top if cover is None else cover.unionByName(top)
         left = materialise(G.delete_vertices(left, top))
+        k += 1
     return cover if cover is not None else G.vertices(e).limit(0)
 
 

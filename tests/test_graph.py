@@ -167,3 +167,8 @@ def test_selection_is_disjoint(spark):
     _, edges = disjoint(30, 23)
     sel = R.r2_selected(frame(spark, edges)).select(F.explode(F.array("v", "a", "b")).alias("x"))
     assert sel.count() == sel.distinct().count() and list(itertools.islice(sel.toLocalIterator(), 1))
+
+
+def test_greedy_rounds_cover_long_paths_in_order_of_ids(spark):
+    e = frame(spark, [(i, i + 1) for i in range(1, 1100)])
+    assert G.uncovered(e, S.greedy_rounds(e)).count() == 0
