@@ -3,7 +3,8 @@
 Rules shrink the graph as DataFrames; components of the rest are independent
 and go to sequential kernels, one task each. A kernel needs its component in
 one place, so components of more than ``kernel_edges`` edges never meet one:
-they get a distributed greedy cover and a distributed matching as bound.
+they get a distributed greedy cover and, as bound, half the maximum matching of
+their double cover, found by layered joins.
 """
 
 from __future__ import annotations
@@ -27,25 +28,29 @@ def _with_component(e: DataFrame) -> DataFrame:
     return materialise(e.join(G.components(e).withColumnRenamed("id", "u"), "u"))
 
 
-def _parts(e: DataFrame, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
-    """Edges with their component: of small and of large components."""
+def _split(e: DataFrame, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
+    """``u, v, component``: of small and of large components."""
     c = _with_component(e)
     large = c.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > kernel_edges).select("component")
-    return c.join(large, "component", "left_anti"), materialise(c.join(large, "component", "left_semi")).select("u", "v")
+    return c.join(large, "component", "left_anti"), materialise(c.join(large, "component", "left_semi")).select("u", "v", "component")
+
+
+def _parts(e: DataFrame, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with their component of small components, edges of large ones."""
+    small, large = _split(e, kernel_edges)
+    return small, large.select("u", "v")
 
 
 def _graph(pdf: pd.DataFrame) -> K.Graph:
     return K.build(zip(pdf["u"].tolist(), pdf["v"].tolist()))
 
 
-def matching(e: DataFrame, max_rounds: int = 200) -> DataFrame:
+def matching(e: DataFrame) -> DataFrame:
     """A maximal matching ``u, v`` by rounds: an edge enters if its hash is the
     least at both ends. Its size is a lower bound, its ends a cover of at most
     twice the optimum."""
     left, out = materialise(e), None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # the least hash of all always enters
         key = left.withColumn("h", F.struct(F.xxhash64("u", "v"), "u", "v"))
         low = key.select(F.explode(F.array("u", "v")).alias("id"), "h").groupBy("id").agg(F.min("h").alias("low"))
         won = key.join(low.select(F.col("id").alias("u"), F.col("low").alias("lu")), "u").join(low.select(F.col("id").alias("v"), F.col("low").alias("lv")), "v").where("h = lu AND h = lv").select("u", "v")
@@ -55,6 +60,50 @@ def matching(e: DataFrame, max_rounds: int = 200) -> DataFrame:
     return out if out is not None else e.limit(0)
 
 
+def maximum_double_matching(e: DataFrame) -> DataFrame:
+    """``l, r``: a maximum matching of the bipartite double cover, by joins.
+
+    It starts from both directions of a maximal matching. Each phase grows a
+    forest of alternating paths by layers from all free left vertices; a right
+    vertex belongs to the first layer and there to one parent (by hash), so the
+    trees are disjoint, and each tree that meets a free right vertex is
+    augmented once. A phase that finds none has seen all that free vertices
+    reach, so the matching is maximum.
+    """
+    s = materialise(G.symmetric(e).select(F.col("u").alias("l"), F.col("v").alias("r")))
+    mate = materialise(G.symmetric(matching(e)).select(F.col("u").alias("l"), F.col("v").alias("r")))
+    phase = 0
+    while True:
+        layer = s.select("l").distinct().join(mate, "l", "left_anti").select("l", F.col("l").alias("root"))
+        back = mate.select("r", F.col("l").alias("next"))
+        seen = ends = None
+        while True:
+            reach = s.join(layer, "l")
+            if seen is not None:
+                reach = reach.join(seen.select("r"), "r", "left_anti")
+            parent = F.min(F.struct(F.xxhash64("l", "r", F.lit(phase)).alias("h"), "l", "root")).alias("p")
+            new = materialise(reach.groupBy("r").agg(parent).select("r", "p.l", "p.root").join(back, "r", "left"))
+            if new.isEmpty():
+                break
+            seen = new if seen is None else seen.unionByName(new)
+            won = new.where("next IS NULL").groupBy("root").agg(F.min("r").alias("r"))
+            ends = won if ends is None else ends.unionByName(won)
+            # a tree that has met a free vertex grows no further
+            layer = new.where("next IS NOT NULL").join(won.select("root"), "root", "left_anti").select(F.col("next").alias("l"), "root")
+        if ends is None or ends.isEmpty():
+            return mate
+        at = ends.select("r")
+        steps, flipped = seen.select("r", "l"), None
+        while True:
+            step = materialise(at.join(steps, "r").select("l", "r"))
+            if step.isEmpty():
+                break
+            flipped = step if flipped is None else flipped.unionByName(step)
+            at = step.select("l").join(mate, "l").select("r")
+        mate = materialise(mate.join(flipped.select("l"), "l", "left_anti").unionByName(flipped))
+        phase += 1
+
+
 def greedy_rounds(e: DataFrame) -> DataFrame:
     """Distributed greedy cover ``id``: each round takes every vertex whose
     (degree, then hash of id and round) is the greatest in its closed
@@ -77,10 +126,17 @@ def greedy_rounds(e: DataFrame) -> DataFrame:
 BOUNDS = {"lp": K.lp_bound, "clique": K.clique_bound, "cycle": K.cycle_bound}
 
 
+def _matched(large: DataFrame) -> DataFrame:
+    """``component, matched`` of ``u, v, component``."""
+    of = large.select(F.explode(F.array("u", "v")).alias("l"), "component").distinct()
+    return of.join(maximum_double_matching(large.select("u", "v")), "l").groupBy("component").agg(F.count(F.lit(1)).alias("matched"))
+
+
 def bounds(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """``bound, value``: lower bounds of the whole graph (components add up);
-    components too large for a kernel count with their matching in each."""
-    small, large = _parts(e, kernel_edges)
+    """``bound, value``: lower bounds of the whole graph (components add up).
+    ``lp`` is the same for components of any size; ``clique`` and ``cycle`` have
+    kernels only, and are null if a component is too large for one."""
+    small, large = _split(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _graph(pdf)
@@ -88,19 +144,23 @@ def bounds(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
 
     per = small.groupBy("component").applyInPandas(run, "bound string, value bigint")
     if not large.isEmpty():
-        per = per.unionByName(matching(large).agg(F.count(F.lit(1)).alias("value")).select(F.explode(F.array(*map(F.lit, BOUNDS))).alias("bound"), "value"))
-    return per.groupBy("bound").agg(F.sum("value").cast("bigint").alias("value"))
+        half = _matched(large).select(F.lit("lp").alias("bound"), F.expr("(matched + 1) div 2").alias("value"))
+        unknown = large.select("component").distinct().select(F.explode(F.array(*[F.lit(b) for b in BOUNDS if b != "lp"])).alias("bound"), F.lit(None).cast("bigint").alias("value"))
+        per = per.unionByName(half).unionByName(unknown)
+    return per.groupBy("bound").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum("value")).cast("bigint").alias("value"))
 
 
 def matching_double_cover(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """``component, matched``: maximum matching of the double cover (Hopcroft
-    and Karp) per component of at most ``kernel_edges`` edges."""
-    small, _ = _parts(e, kernel_edges)
+    """``component, matched``: maximum matching of the double cover per
+    component, by Hopcroft and Karp up to ``kernel_edges`` edges and by joins
+    above."""
+    small, large = _split(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"component": [pdf["component"].iloc[0]], "matched": [len(K.hopcroft_karp(_graph(pdf))[0])]})
 
-    return small.groupBy("component").applyInPandas(run, "component bigint, matched bigint")
+    per = small.groupBy("component").applyInPandas(run, "component bigint, matched bigint")
+    return per if large.isEmpty() else per.unionByName(_matched(large))
 
 
 # --- covers ------------------------------------------------------------------

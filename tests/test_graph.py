@@ -172,3 +172,12 @@ def test_selection_is_disjoint(spark):
 def test_greedy_rounds_cover_long_paths_in_order_of_ids(spark):
     e = frame(spark, [(i, i + 1) for i in range(1, 1100)])
     assert G.uncovered(e, S.greedy_rounds(e)).count() == 0
+
+
+def test_double_cover_matching_of_large_components(spark):
+    edges = [(i, i + 1) for i in range(1, 8)] + [(20, 20 + i) for i in range(1, 9)] + [(30 + i, 30 + (i + 1) % 7) for i in range(7)] + [(30, 37), (37, 38), (40, 41)]
+    e, parts = frame(spark, edges), K.split(K.build(edges))
+    want = {min(g): len(K.hopcroft_karp(g)[0]) for g in parts}
+    assert {r.component: r.matched for r in S.matching_double_cover(e, 5).collect()} == want
+    got = {r.bound: r.value for r in S.bounds(e, 5).collect()}
+    assert got == {"lp": sum(map(K.lp_bound, parts)), "clique": None, "cycle": None}
