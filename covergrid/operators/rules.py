@@ -57,17 +57,19 @@ def deg2(e: DataFrame) -> DataFrame:
     return x.select("v", F.get("near", 0).alias("a"), F.get("near", 1).alias("b"), (F.size("inner") == 1).alias("triangle"))
 
 
-def select_free(candidates: DataFrame, claims: DataFrame) -> DataFrame:
-    """Candidates ``v`` that are the smallest claimant of all they claim
-    (``claims``: ``v, x``)."""
-    least = claims.groupBy("x").agg(F.min("v").alias("first"))
+def select_free(candidates: DataFrame, claims: DataFrame, seed: int | None = None) -> DataFrame:
+    """Candidates ``v`` that are the first claimant of all they claim
+    (``claims``: ``v, x``): the smallest, or with a ``seed`` that of the least
+    hash, so that chains in order of ids go in parallel."""
+    first = F.min("v") if seed is None else F.min_by("v", F.struct(F.xxhash64("v", F.lit(seed)), F.col("v")))
+    least = claims.groupBy("x").agg(first.alias("first"))
     lost = claims.join(least, "x").where("v <> first").select("v").distinct()
     return candidates.join(lost, "v", "left_anti")
 
 
-def r2_selected(e: DataFrame) -> DataFrame:
+def r2_selected(e: DataFrame, seed: int | None = None) -> DataFrame:
     c = deg2(e)
-    return select_free(c, c.select("v", F.explode(F.array("v", "a", "b")).alias("x")))
+    return select_free(c, c.select("v", F.explode(F.array("v", "a", "b")).alias("x")), seed)
 
 
 def r3_high_degree(e: DataFrame, k: int) -> DataFrame:
@@ -163,7 +165,7 @@ def added_edges(e: DataFrame, cases: DataFrame) -> DataFrame:
     return out.select("c", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def select_ball(e: DataFrame, cases: DataFrame) -> DataFrame:
+def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None) -> DataFrame:
     """Cases whose balls of radius two don't meet; see BALL."""
     d = G.degrees(e)
     s = G.symmetric(e)
@@ -172,7 +174,7 @@ def select_ball(e: DataFrame, cases: DataFrame) -> DataFrame:
     near = near.join(light, "v", "left_semi")
     second = near.join(s.select(F.col("u").alias("x"), F.col("v").alias("y")), "x").select("v", F.col("y").alias("x"))
     claims = near.unionByName(second).unionByName(light.select("v", F.col("v").alias("x"))).distinct()
-    return select_free(cases.join(light, "v", "left_semi"), materialise(claims))
+    return select_free(cases.join(light, "v", "left_semi"), materialise(claims), seed)
 
 
 # --- rounds with a log -------------------------------------------------------
@@ -187,7 +189,7 @@ def take(e: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return G.delete_vertices(e, ids), _entry(ids, "take", F.col("id"), [], [F.col("id")])
 
 
-def apply_r1(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_r1(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     return take(e, r1_batch(e))
 
 
@@ -195,12 +197,12 @@ def apply_r3(e: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return take(e, r3_high_degree(e, k))
 
 
-def apply_r5(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_r5(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     return take(e, r5_batch(e))
 
 
-def apply_r2(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sel = materialise(r2_selected(e))
+def apply_r2(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    sel = materialise(r2_selected(e, seed))
     tri, fold = sel.where("triangle"), sel.where("NOT triangle")
     out = G.delete_vertices(e, tri.select(F.explode(F.array("v", "a", "b")).alias("id")))
     out = G.relabel(out, fold.select(F.explode(F.array("a", "b")).alias("id"), F.col("v").alias("rep")))
@@ -208,9 +210,9 @@ def apply_r2(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, log
 
 
-def apply_deg3(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_deg3(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Independent neighbours and edge-and-single, on cases far apart."""
-    sel = materialise(select_ball(e, deg3_cases(e).where("kind IN ('independent', 'edge')")))
+    sel = materialise(select_ball(e, deg3_cases(e).where("kind IN ('independent', 'edge')"), seed))
     gone = sel.select(F.explode(F.when(F.col("kind") == "edge", F.array("v", "c")).otherwise(F.array("v"))).alias("id"))
     more = added_edges(e, sel).select("u", "v")
     out = G.add_edges(G.delete_vertices(e, gone), G.delete_vertices(more, gone))
@@ -279,20 +281,25 @@ class Kernel:
 RULES = {"R1": apply_r1, "R2": apply_r2, "R5": apply_r5, "R8_R9": apply_deg3}
 
 
-def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), max_rounds: int = 60, enough: int = 0) -> Kernel:
-    """Rules to a fixpoint, the first that applies first. R5 takes what R10 and
-    R12 would take (both are dominations). ``max_rounds`` bounds the rounds, not
-    the work on any of them; at ``enough`` edges it stops early. What is left is
-    left to the kernels, which have the same rules."""
-    e, rounds = materialise(e), []
-    while len(rounds) < max_rounds and e.count() > enough:
+def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), enough: int = 0) -> Kernel:
+    """Rules to a fixpoint: each pass applies the rules in turn, until none of
+    them applies. R5 takes what R10 and R12 would take (both are dominations).
+    Every rule that applies removes a vertex, so this ends; folds are chosen by
+    hash, and R1 takes turns with R2, so paths and trees shrink by a share of
+    themselves in a pass. Only at ``enough`` edges it stops early."""
+    e, rounds, idle = materialise(e), [], 0
+    left = e.count()
+    while left > enough and idle < len(order):
         for rule in order:
-            out, log = RULES[rule](e)
+            out, log = RULES[rule](e, len(rounds))
             log = materialise(log)
-            if not log.isEmpty():
+            if log.isEmpty():
+                idle += 1
+            else:
+                idle = 0
                 rounds.append(log)
                 e = materialise(out)
+                left = e.count()
+            if left <= enough or idle == len(order):
                 break
-        else:
-            break
     return Kernel(e, rounds)

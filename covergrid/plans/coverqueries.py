@@ -497,7 +497,7 @@ def cover_from_log(spark, d):
 
 @query()
 def kernel_log(spark, d):
-    return R.kernelize(P.coq(spark, d), ("R1", "R2", "R5", "R8_R9"), max_rounds=24).log().groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return R.kernelize(P.coq(spark, d), ("R1", "R2", "R5", "R8_R9")).log().groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _bounds(graph):

@@ -181,3 +181,10 @@ def test_double_cover_matching_of_large_components(spark):
     assert {r.component: r.matched for r in S.matching_double_cover(e, 5).collect()} == want
     got = {r.bound: r.value for r in S.bounds(e, 5).collect()}
     assert got == {"lp": sum(map(K.lp_bound, parts)), "clique": None, "cycle": None}
+
+
+def test_kernelize_reaches_a_fixpoint_on_long_chains_in_few_rounds(spark):
+    cycle = [(i, i + 1) for i in range(1, 500)] + [(1, 500)]
+    k = R.kernelize(frame(spark, cycle + [(1000 + i, 1001 + i) for i in range(400)]))
+    assert k.edges.count() == 0 and len(k.rounds) <= 60
+    assert R.decrease(k.log()).first().dec == 250 + 200
