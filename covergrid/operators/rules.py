@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covergrid.operators import graph as G
+from covergrid.operators.salting import heavy_keys, skew_join
 from covergrid.session import materialise
 
 #: Undo log of one round: what was taken, or what decides between two takings.
 LOG = "round int, kind string, v bigint, watch array<bigint>, other array<bigint>"
-#: Rules of degree three and four look at vertices whose neighbours have at most
-#: this many neighbours in all, so that a claimed ball is small; the rest wait
-#: for the kernels.
+#: Cap on a case's neighbours' degrees in the SQL of r8_r9_selected only; the
+#: operator has none, so they differ where a case lies next to a hub.
 BALL = 64
 
 
@@ -166,15 +166,21 @@ def added_edges(e: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None) -> DataFrame:
-    """Cases whose balls of radius two don't meet; see BALL."""
-    d = G.degrees(e)
-    s = G.symmetric(e)
-    near = cases.select("v", F.explode(F.array("a", "b", "c")).alias("x"))
-    light = near.join(d.withColumnRenamed("id", "x"), "x").groupBy("v").agg(F.sum("deg").alias("far")).where(F.col("far") <= BALL).select("v")
-    near = near.join(light, "v", "left_semi")
-    second = near.join(s.select(F.col("u").alias("x"), F.col("v").alias("y")), "x").select("v", F.col("y").alias("x"))
-    claims = near.unionByName(second).unionByName(light.select("v", F.col("v").alias("x"))).distinct()
-    return select_free(cases.join(light, "v", "left_semi"), materialise(claims), seed)
+    """Cases whose balls of radius two don't meet: those that are the first (as
+    in ``select_free``) of all cases within four steps.
+
+    The first case travels along edges, one row per vertex, so a ball is never
+    listed, whatever hubs it holds; rows of hubs are salted.
+    """
+    s = materialise(G.symmetric(e))
+    heavy = [tuple(r) for r in heavy_keys(s, ["v"]).collect()]
+    h = F.lit(0).cast("bigint") if seed is None else F.xxhash64("v", F.lit(seed))
+    own = materialise(cases.select(F.col("v").alias("id"), F.struct(h.alias("h"), F.col("v").alias("c")).alias("first")))
+    near = own
+    for _ in range(4):
+        seen = skew_join(s, near.select(F.col("id").alias("v"), "first"), ["v"], F.col("u"), heavy=heavy)
+        near = materialise(seen.select(F.col("u").alias("id"), "first").unionByName(near).groupBy("id").agg(F.min("first").alias("first")))
+    return cases.join(near.where(F.col("first.c") == F.col("id")).select(F.col("id").alias("v")), "v", "left_semi")
 
 
 # --- rounds with a log -------------------------------------------------------

@@ -188,3 +188,17 @@ def test_kernelize_reaches_a_fixpoint_on_long_chains_in_few_rounds(spark):
     k = R.kernelize(frame(spark, cycle + [(1000 + i, 1001 + i) for i in range(400)]))
     assert k.edges.count() == 0 and len(k.rounds) <= 60
     assert R.decrease(k.log()).first().dec == 250 + 200
+
+
+def test_degree_three_cases_next_to_hubs_are_selected(spark):
+    _, edges = disjoint(25, 29)
+    edges += [(9000, 9001 + i) for i in range(80)] + [(8000, 9000), (8000, 8001), (8000, 8002), (8001, 8003), (8001, 8004), (8002, 8005), (8002, 8006)]
+    e, g = frame(spark, edges), K.build(edges)
+    cases = R.deg3_cases(e).where("kind IN ('independent', 'edge')")
+    ball = {r.v: {r.v} | g[r.v] | {y for x in g[r.v] for y in g[x]} for r in cases.collect()}
+    first = {}
+    for v, b in ball.items():
+        for x in b:
+            first[x] = min(first.get(x, v), v)
+    want = sorted(v for v, b in ball.items() if all(first[x] == v for x in b))
+    assert 8000 in want and sorted(r.v for r in R.select_ball(e, cases).collect()) == want
