@@ -74,7 +74,7 @@ def _dictionary(exact: int):
     return run
 
 
-def _tuples(exact: int, fields: int, reserved: dict):
+def _tuples(exact: int, fields: int, reserved: dict, rejected: bool = False):
     names = [f"x{i}" for i in range(exact)] + [f"t{i}" for i in range(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,11 @@ def _tuples(exact: int, fields: int, reserved: dict):
             for _, _, ids, at in _encoded(batch, exact, reserved):
                 cols.append(np.append(ids, 0)[at])  # index -1 is the 0 at the end
             body = np.sort(np.stack(cols[exact:], 1), 1)
-            keep = np.flatnonzero((np.stack(cols[exact:], 1) != 0).all(1))
+            whole = (np.stack(cols[exact:], 1) != 0).all(1)
+            if rejected:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.flatnonzero(~whole)))], ["id"])
+                continue
+            keep = np.flatnonzero(whole)
             out = [batch.column(0).take(pa.array(keep))] + [pa.array(c[keep]) for c in cols[:exact]] + [pa.array(np.ascontiguousarray(body[keep, i])) for i in range(fields)]
             yield pa.RecordBatch.from_arrays(out, ["id", *names])
 
@@ -136,10 +140,18 @@ class FormatDuplicates:
         return tuples, sets.where("n > 1"), names
 
     def collapsed(self) -> DataFrame:
-        """``first_id, n_copies`` of each distinct record, single ones too."""
+        """``first_id, n_copies`` of each distinct record, single ones too. The
+        records that are a copy of nothing aren't here but in ``rejected``, so
+        both together hold each record once."""
         tuples, names = self.tuples()
         return tuples.groupBy(*names).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).select("first_id", "n_copies")
 
+    def rejected(self) -> DataFrame:
+        """``first_id, n_copies`` (1) of each record with a field that is null
+        or has no letter or digit; a row each, repeated ones too."""
+        run, _ = _tuples(len(self.exact), len(self.fields), {}, rejected=True)
+        return self.rows.mapInArrow(run, "id bigint").select(F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("n_copies"))
+
     def copies(self) -> DataFrame:
         """``first_id, copy_id``: the smallest ``id`` of each set, and one row
         for each other ``id`` of it. Records meet their set by a join, salted

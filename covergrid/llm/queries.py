@@ -22,6 +22,10 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).collapsed()
 
 
+def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).rejected()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -48,7 +52,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p7_ids, p8_found, p8_templates, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_rejected, p7_ids, p8_found, p8_templates, p9_found, p9_pieces)}
 
 _CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _SETS = f"""WITH c AS (SELECT edge_id, file, {_CANON.format('vertex0')} AS a, {_CANON.format('vertex1')} AS b FROM bucketgraph WHERE vertex0 IS NOT NULL AND vertex1 IS NOT NULL),

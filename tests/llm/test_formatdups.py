@@ -73,3 +73,13 @@ def test_table(spark, data):
     df = spark.read.parquet(f"{data}/bucketgraph.parquet")
     got = sorted((r.first_id, r.copy_id) for r in edges(df).copies().collect())
     assert got == brute([(r.edge_id, r.file, r.vertex0, r.vertex1) for r in df.collect()])
+
+
+def test_collapsed_and_rejected_hold_every_record(spark, data):
+    df = spark.read.parquet(f"{data}/bucketgraph.parquet")
+    f = FormatDuplicates(df, "edge_id", ["file"], ["vertex0", "vertex1"])
+    one = sum(r.n_copies for r in f.collapsed().collect())
+    more = spark.createDataFrame([(1, "f", None, "a"), (2, "f", "!", "a"), (3, "f", "", "a"), (4, "f", "b", "a"), (1, "f", None, "a")], "edge_id bigint, file string, vertex0 string, vertex1 string")
+    assert one + f.rejected().count() == df.count()
+    g = FormatDuplicates(more, "edge_id", ["file"], ["vertex0", "vertex1"])
+    assert sorted((r.first_id, r.n_copies) for r in g.rejected().collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
