@@ -554,7 +554,7 @@ query("SELECT count(DISTINCT c_nationkey) AS size, 0 AS n_uncovered, true AS pro
 )
 query(None, "exact_cover_size_spq")(lambda spark, d: _exact(P.spq(spark, d)))
 query(None, "exact_cover_size_coq")(lambda spark, d: _exact(P.coq(spark, d)))
-query(None, "exact_cover_size_co")(lambda spark, d: _exact(P.co(spark, d), nodes=60))
+query(None, "exact_cover_size_co")(lambda spark, d: _exact(P.co(spark, d)))
 
 
 # --- instances and answers of solvers ----------------------------------------
@@ -620,3 +620,30 @@ _BEST = f"(SELECT file, min(s) AS t FROM (SELECT file, {_SEC} AS s FROM {{0}}) W
 def csv_intersect4(spark, d):
     m = table(spark, d, "results_mirror")
     return C.intersect([table(spark, d, DOM), table(spark, d, DEG), m.where(F.col("config") == DOM), m.where(F.col("config") == DEG)])
+
+
+# --- the same operators over whole tables: all of lineitem, all of bucketgraph --
+
+
+def _whole(name: str, f: Callable[[DataFrame], DataFrame], more: str | None = None, select: str | None = None, numbered: bool = False) -> None:
+    """``name_sp`` and ``name_bg``. ``numbered``: names of bucketgraph become
+    dense ids first."""
+    graphs = {"sp": P.sp, "bg": P.bg_numbered if numbered else P.bg}
+    for g, build in graphs.items():
+        query(sql(g, more or "") + select if select else None, f"{name}_{g}")(lambda spark, d, build=build: f(build(spark, d)))
+
+
+_whole("leaves", R.leaves, None, "SELECT id FROM d WHERE deg = 1")
+_whole("r1_batch", R.r1_batch, _R1, "SELECT id FROM p")
+_whole("r1_remaining_edges", lambda e: G.delete_vertices(e, R.r1_batch(e)), _R1, "SELECT u, v FROM e WHERE u NOT IN (SELECT id FROM p) AND v NOT IN (SELECT id FROM p)")
+_whole("isolated_after_delete", lambda e: G.isolated_after(e, _top(e, 4)), None, f"SELECT id FROM d WHERE deg < 4 AND id NOT IN (SELECT u FROM s WHERE u NOT IN {_S4} AND v NOT IN {_S4})")
+_whole("double_cover_edges", G.double_cover, None, "SELECT u AS l, v AS r FROM s")
+_whole("opb_constraints", X.opb_constraints, None, "SELECT '+1*x' || u || ' +1*x' || v || ' >= +1;' AS line FROM e")
+_whole("opb_objective", lambda e: X.opb_terms(G.vertices(e)), None, "SELECT '+1*x' || id AS term FROM d")
+_whole("components", G.components, numbered=True)
+_whole("common_neighbours", G.common_neighbours, numbered=True)
+_whole("dominators", R.dominators, numbered=True)
+_whole("r2_selected", R.r2_selected, numbered=True)
+_whole("r8_r9_selected", lambda e: R.select_ball(e, R.deg3_cases(e).where("kind IN ('independent', 'edge')")), numbered=True)
+_whole("maximal_matching", S.matching, numbered=True)
+_whole("greedy_rounds", lambda e: _size(e, S.greedy_rounds(materialise(e))), numbered=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergrid.operators import graph as G
-from covergrid.session import table
+from covergrid.session import materialise, table
 
 
 def _pairs(df: DataFrame, a, b) -> DataFrame:
@@ -61,6 +61,14 @@ def bg(spark: SparkSession, d: str) -> DataFrame:
     return G.canonical(bg_raw(spark, d), "a", "b")
 
 
+def bg_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """``bg`` with dense ids in order of names, for operators that need numbers."""
+    e = materialise(bg(spark, d).withColumn("at", F.lit(0)))
+    ids = materialise(G.dictionary(e, "at", ["u", "v"], []))
+    a, b = (ids.select(F.col("name").alias(c), F.col("id").alias(i)) for c, i in zip("uv", "ab"))
+    return G.canonical(e.join(a, "u").join(b, "v").select("a", "b"), "a", "b")
+
+
 _TWO = "SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM ({}) WHERE a <> b"
 _PART_SUPP = "SELECT CAST(l_partkey AS BIGINT) * 2 AS a, CAST(l_suppkey AS BIGINT) * 2 + 1 AS b FROM lineitem"
 _BOTH = "SELECT DISTINCT x.{0} AS u, y.{0} AS v FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.{0} < y.{0} WHERE x.{1} AND y.{1}"

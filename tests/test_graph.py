@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from covergrid.operators import graph as G
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
@@ -202,3 +203,16 @@ def test_degree_three_cases_next_to_hubs_are_selected(spark):
             first[x] = min(first.get(x, v), v)
     want = sorted(v for v, b in ball.items() if all(first[x] == v for x in b))
     assert 8000 in want and sorted(r.v for r in R.select_ball(e, cases).collect()) == want
+
+
+def test_queries_over_whole_tables(spark, data):
+    q = entry.queries()
+    raw = [(f"{r.file}:{r.vertex0}", f"{r.file}:{r.vertex1}") for r in spark.read.parquet(f"{data}/bucketgraph.parquet").collect() if None not in (r.file, r.vertex0, r.vertex1)]
+    g = K.build({(a, b) for a, b in raw if a != b})
+    assert {r.id for r in q["leaves_bg"](spark, data).collect()} == {v for v in g if len(g[v]) == 1}
+    assert q["double_cover_edges_bg"](spark, data).count() == sum(map(len, g.values()))
+    parts = {}
+    for r in q["components_bg"](spark, data).collect():
+        parts[r.component] = parts.get(r.component, 0) + 1
+    assert sorted(parts.values()) == sorted(map(len, K.split(g)))
+    assert q["greedy_rounds_bg"](spark, data).first().n_uncovered == 0
