@@ -46,20 +46,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("difference", names)
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return linecheck.parse(table(spark, d, "edge_lines"), ENDS, keep=("line_id", "file", "line_no"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where("reason IS NOT NULL").select("line_id", "reason")
+    return linecheck.rejects(table(spark, d, "edge_lines"), ENDS, keep=("line_id",)).select("line_id", "reason")
 
 
 def p4_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where("reason IS NULL").select("line_id", "file", *ENDS)
+    return linecheck.edges(table(spark, d, "edge_lines"), ENDS, keep=("line_id", "file"))
 
 
 def p4_broken_fields(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where("reason IS NOT NULL").groupBy("reason", "broken_field").agg(F.count(F.lit(1)).alias("n_lines"))
+    return linecheck.rejects(table(spark, d, "edge_lines"), ENDS).groupBy("reason", "broken_field").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

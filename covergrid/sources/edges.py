@@ -15,8 +15,8 @@ ENDS = ["vertex0", "vertex1"]
 def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Edges ``vertex0, vertex1`` (a multiset) and rejected lines ``value,
     reason`` of edge-list text, one edge per line, ``#`` comments."""
-    parsed = linecheck.parse(spark.read.text(path), ENDS, keep=("value",))
-    return parsed.where("reason IS NULL").select(*ENDS), parsed.where("reason IS NOT NULL").select("value", "reason")
+    lines = spark.read.text(path)
+    return linecheck.edges(lines, ENDS), linecheck.rejects(lines, ENDS, keep=("value",)).select("value", "reason")
 
 
 def write_edges(e: DataFrame, path: str) -> None:
