@@ -1,15 +1,16 @@
 """Column-level quality profile, and changes of distribution between loads.
 
 Exact base aggregates per load and field; rule violations; and a classifier
-two-sample test: a logistic regression is trained to tell a load from the one
-before, its cross-fitted discrimination (area under the ROC curve) says whether
-they differ, and the drop when a column is neutralised says where.
-
-On the indicator of one column alone that regression has a closed form: its
-score is the column's log odds ratio and its discrimination is
-``1/2 + |share_now - share_before| / 2``. "Shares differ by 0.25" is therefore
-"the single-column classifier discriminates by 0.625", which ``findings``
-decides on exact counts.
+two-sample test: logistic regressions are trained to tell a load from the one
+before. ``findings`` trains one on each field alone (all other columns ablated):
+its discrimination proposes the changes, exact aggregates confirm them. ``drift``
+trains one on all fields; its cross-fitted discrimination (area under the ROC
+curve) says whether two loads differ, and the drop when a column is neutralised
+says where.
+
+The regressions are trained on counted cells: rows with equal features are one
+weighted cell, combined before the shuffle, so a load of any size is a bounded
+number of cells and all models of a load are trained where its cells lie.
 """
 
 from __future__ import annotations
@@ -17,13 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from covergrid.operators.salting import skew_join
 from covergrid.session import materialise
 
 NAME = "[A-Za-z0-9_]+"
@@ -59,13 +57,6 @@ def violations(rows: DataFrame) -> DataFrame:
     return rows.select("load_id", "run_id", F.inline(flags)).where("bad").select("load_id", "field", F.lit("violation").alias("finding"), "run_id")
 
 
-def loads_in_order(rows: DataFrame) -> DataFrame:
-    """``load_id, prev_id, next_id``; a row per load, so the window is small."""
-    w = Window.partitionBy("campaign").orderBy("load_id")
-    loads = rows.where("load_id IS NOT NULL AND campaign IS NOT NULL").groupBy("campaign", "load_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return loads.select("load_id", "n_rows", F.lag("load_id").over(w).alias("prev_id"), F.lead("load_id").over(w).alias("next_id"))
-
-
 def medians(rows: DataFrame) -> DataFrame:
     """``load_id, median2``: twice the exact median of the valid times. Values
     are counted per load and value, then a cumulative count over logarithmic
@@ -83,23 +74,112 @@ def medians(rows: DataFrame) -> DataFrame:
     return r.groupBy("load_id").agg((at(lo) + at(hi)).alias("median2"))
 
 
+#: Time buckets of the classifiers, per factor e; at most 500, as times are capped.
+CELLS_PER_E = 8
+NEWTON = 12
+#: A classifier this far below the threshold still proposes a change: its score
+#: is a float, the exact aggregates that confirm it aren't.
+SLACK = 1e-9
+
+
+def time_cell(num: Column) -> Column:
+    return F.floor(F.log1p(num.cast("double")) * CELLS_PER_E).cast("int")
+
+
 def load_profile(rows: DataFrame) -> DataFrame:
-    """Exact base aggregates of each load and the load before:
-    ``load_id, prev_id`` and, per field i, nulls, valid rows and hits of both."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(FIELDS)):
-        valid = ~F.col(f"n{i}") & ~F.col(f"bad{i}")
-        aggs += [F.count(F.when(F.col(f"n{i}"), 1)).alias(f"null{i}"), F.count(F.when(valid, 1)).alias(f"valid{i}"), F.count(F.when(valid & F.col(f"hit{i}"), 1)).alias(f"hits{i}")]
-    base = rows.where("load_id IS NOT NULL").groupBy("load_id").agg(*aggs).join(medians(rows), "load_id", "left")
-    base = materialise(base)
-    names = [c for c in base.columns if c != "load_id"]
-    prev = base.select(F.col("load_id").alias("prev_id"), *[F.col(c).alias(f"p_{c}") for c in names])
-    return loads_in_order(rows).where("prev_id IS NOT NULL").select("load_id", "prev_id").join(base, "load_id").join(prev, "prev_id")
+    """Exact base aggregates of each load and the load before: ``load_id`` and,
+    per field i, nulls, valid rows and hits of both, twice the medians, and
+    ``times``, the valid times counted by cell. One row per load."""
+    counts, last = [], len(FIELDS)
+    for i in range(last):
+        ok = ~F.col(f"n{i}") & ~F.col(f"bad{i}")
+        counts += [F.count(F.when(F.col(f"n{i}"), 1)).alias(f"null{i}"), F.count(F.when(ok, 1)).alias(f"valid{i}"), F.count(F.when(ok & F.col(f"hit{i}"), 1)).alias(f"hits{i}")]
+    by_cell = (
+        rows.where("load_id IS NOT NULL AND campaign IS NOT NULL")
+        .withColumn("cell", F.when(~F.col("n0") & ~F.col("bad0"), time_cell(F.col("num"))))
+        .groupBy("campaign", "load_id", "cell")
+        .agg(F.count(F.lit(1)).alias("rows"), *counts)
+    )
+    names = ["rows", *[f"{c}{i}" for i in range(last) for c in ("null", "valid", "hits")]]
+    times = F.sort_array(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "rows")))).alias("times")  # at most 500
+    base = by_cell.groupBy("campaign", "load_id").agg(times, *[F.sum(c).alias(c) for c in names]).join(medians(rows), "load_id", "left")
+    w = Window.partitionBy("campaign").orderBy("load_id")  # a row per load
+    own = [*names, "times", "median2"]
+    return base.select("load_id", F.lag("load_id").over(w).alias("prev_id"), *own, *[F.lag(c).over(w).alias(f"p_{c}") for c in own]).where("prev_id IS NOT NULL")
+
+
+def discrimination(now: np.ndarray, before: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` groups: how well a logistic regression, trained on the
+    group's categories (one weight each, both loads of equal total weight),
+    tells the two loads apart: the mean share of rows it puts on the right side.
+
+    Newton's steps run for all categories of all groups together, as the weights
+    of one-hot categories don't meet in the Hessian. From zero the first step
+    has the sign of the difference of the two shares and no later one loses it,
+    so the result is 1/2 plus half the total variation of the two loads, and
+    1/2 plus half the difference of shares if there are two categories. 1/2 if
+    a load has no rows.
+    """
+    total = np.stack([np.bincount(group, x, n) for x in (now, before)])
+    a, b = (x / np.where(t[group] > 0, t[group], 1) for x, t in zip((now, before), total))
+    beta = np.zeros(len(group))
+    for _ in range(NEWTON):
+        p = 1 / (1 + np.exp(-beta))
+        pull = 1e-3
+        step = (a * (1 - p) - b * p - pull * beta) / ((a + b) * p * (1 - p) + pull)
+        beta += np.clip(step, -2, 2)
+    right = np.where(beta > 0, a, 0) + np.where(beta > 0, 0, b)
+    known = (total > 0).all(0)
+    return np.where(known, np.bincount(group, right, n) / 2, 0.5)
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each load the discriminations of the classifiers on one field
+    alone: ``null{i}`` on whether it is null, ``value{i}`` on its valid values."""
+    for b in batches:
+        n, col = b.num_rows, lambda c: b.column(c).to_numpy(zero_copy_only=False).astype("float64")  # noqa: B023
+        two = np.arange(2 * n) % max(n, 1)
+        pair = lambda hit, of: np.concatenate([hit, of - hit])
+        out = []
+        for i in range(len(FIELDS)):
+            sides = [(col(f"{s}null{i}"), col(f"{s}rows"), col(f"{s}hits{i}"), col(f"{s}valid{i}")) for s in ("", "p_")]
+            out.append(discrimination(*[pair(x[0], x[1]) for x in sides], two, n))
+            if i:
+                out.append(discrimination(*[pair(x[2], x[3]) for x in sides], two, n))
+                continue
+            at, cell, weight = [], [], []
+            for side, c in enumerate(("times", "p_times")):
+                lists = b.column(c)
+                flat = lists.flatten()
+                at.append(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())))
+                cell.append(flat.field(0).to_numpy(zero_copy_only=False))
+                weight.append(np.stack([flat.field(1).to_numpy(zero_copy_only=False) * (side == k) for k in (0, 1)]))
+            key = np.concatenate(at) * 1024 + np.concatenate(cell)
+            each, inv = np.unique(key, return_inverse=True)
+            w = np.concatenate(weight, 1).astype("float64")
+            out.append(discrimination(np.bincount(inv, w[0], len(each)), np.bincount(inv, w[1], len(each)), each // 1024, n))
+        made = [x for i in range(len(FIELDS)) for x in (f"d_null{i}", f"d_value{i}")]
+        kept = [c for c in b.schema.names if not c.endswith("times")]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(x) for x in out], [*kept, *made])
+
+
+def classified(profile: DataFrame) -> DataFrame:
+    """``load_profile`` without its times, with the discriminations ``d_null{i}``
+    and ``d_value{i}``."""
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in profile.schema.fields if not f.name.endswith("times")]
+    made = [f"d_{k}{i} double" for i in range(len(FIELDS)) for k in ("null", "value")]
+    return profile.mapInArrow(_classify, ", ".join(kept + made))
 
 
 def shifts(profile: DataFrame) -> DataFrame:
-    """Single-column discriminations that reach 0.625, and medians of ``time``
-    a factor of three apart; compared as integers, so exactly."""
+    """Changes that a classifier proposes and exact aggregates confirm.
+
+    Shares that differ by 0.25 are discriminated by 0.625, so that is asked of
+    the classifiers on null flags and on events. Medians that differ mean that
+    the distributions do, so the classifier on times must do better than 1/2;
+    it can't say more, as a factor of three between medians may come with any
+    discrimination above that.
+    """
 
     def apart(a: str, n: str, b: str, m: str) -> F.Column:  # |a/n - b/m| >= 1/4
         big = lambda c: F.col(c).cast("decimal(19)")
@@ -107,10 +187,14 @@ def shifts(profile: DataFrame) -> DataFrame:
 
     found = []
     for i, f in enumerate(FIELDS):
-        found.append(F.struct(F.lit(f).alias("field"), F.lit("null_shift").alias("finding"), apart(f"null{i}", "rows", f"p_null{i}", "p_rows").alias("yes")))
-        moved = apart(f"hits{i}", f"valid{i}", f"p_hits{i}", f"p_valid{i}") if i else F.expr("median2 >= 3 * p_median2 OR 3 * median2 <= p_median2")
-        found.append(F.struct(F.lit(f).alias("field"), F.lit("value_shift").alias("finding"), F.coalesce(moved, F.lit(False)).alias("yes")))
-    return profile.select("load_id", F.inline(F.array(*found))).where("yes").select("load_id", "field", "finding", F.lit(0).cast("bigint").alias("run_id"))
+        proposed = lambda k, least: F.col(f"d_{k}{i}") >= least - SLACK  # noqa: B023, E731
+        nulls = proposed("null", 0.625) & apart(f"null{i}", "rows", f"p_null{i}", "p_rows")
+        if i:
+            moved = proposed("value", 0.625) & apart(f"hits{i}", f"valid{i}", f"p_hits{i}", f"p_valid{i}")
+        else:
+            moved = (F.col("d_value0") > 0.5 + SLACK) & F.expr("median2 >= 3 * p_median2 OR 3 * median2 <= p_median2")
+        found += [F.struct(F.lit(f).alias("field"), F.lit(k).alias("finding"), F.coalesce(x, F.lit(False)).alias("yes")) for k, x in (("null_shift", nulls), ("value_shift", moved))]
+    return classified(profile).select("load_id", F.inline(F.array(*found))).where("yes").select("load_id", "field", "finding", F.lit(0).cast("bigint").alias("run_id"))
 
 
 def findings(df: DataFrame) -> DataFrame:
@@ -141,58 +225,82 @@ def column_profile(df: DataFrame, by: str = "load_id") -> DataFrame:
     )
 
 
-# --- classifier two-sample test ---------------------------------------------
+# --- classifier two-sample test on all fields --------------------------------
 
 #: Columns of the design matrix: constant, then a null flag and a value per field.
 OWNER = np.array([-1, 0, 0, 1, 1, 2, 2, 3, 3])
 D = len(OWNER)
 RIDGE = 1.0
-STEPS = 6
-BINS = 1024
-
-
-def observations(rows: DataFrame, loads: DataFrame) -> DataFrame:
-    """``load_id, y, fold, x``: each row for its own load (1) and, if there is
-    one, for the load after it (0). Violations count as nulls here."""
-    x = [F.lit(1.0)]
+#: Newton's steps end at a change below this, which takes about six.
+SETTLED = 1e-8
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """``load_id, prev_id, own, other``: rows with equal features counted, of
+    each load and of the load before it. A time is its cell's middle; violations
+    count as nulls. At most 2 * 500 * 3 ** 3 cells a load."""
+    gone = [F.col(f"n{i}") | F.col(f"bad{i}") for i in range(len(FIELDS))]
+    value = [F.when(g, -1).otherwise(F.col(f"hit{i}").cast("int") if i else time_cell(F.col("num"))).alias(f"c{i}") for i, g in enumerate(gone)]
+    fold = F.pmod(F.xxhash64("run_id", "load_id"), F.lit(2)).cast("int").alias("fold")
+    named = rows.where("load_id IS NOT NULL AND campaign IS NOT NULL").select("campaign", "load_id", fold, *value)
+    keys = ["fold", *[f"c{i}" for i in range(len(FIELDS))]]
+    one = named.groupBy("campaign", "load_id", *keys).agg(F.count(F.lit(1)).alias("w"))
+    per = one.groupBy("campaign", "load_id").agg(F.collect_list(F.array(*keys, F.col("w"))).alias("own"))
+    w = Window.partitionBy("campaign").orderBy("load_id")  # a row per load
+    return per.select("load_id", F.lag("load_id").over(w).alias("prev_id"), "own", F.lag("own").over(w).alias("other")).where("prev_id IS NOT NULL")
+
+
+def _design(c: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(c), D))
+    x[:, 0] = 1
     for i in range(len(FIELDS)):
-        gone = F.col(f"n{i}") | F.col(f"bad{i}")
-        value = F.log1p(F.col("num").cast("double")) - 2.0 if i == 0 else F.col(f"hit{i}").cast("double")
-        x += [gone.cast("double"), F.when(gone, 0.0).otherwise(value)]
-    own = skew_join(rows, loads, ["load_id"], F.col("run_id"))
-    pair = F.array(F.when(F.col("prev_id").isNotNull(), F.struct(F.col("load_id").alias("pair"), F.lit(1).alias("y"))), F.when(F.col("next_id").isNotNull(), F.struct(F.col("next_id").alias("pair"), F.lit(0).alias("y"))))
-    fold = F.pmod(F.xxhash64("run_id", "load_id"), F.lit(2)).cast("int")
-    return own.select(F.array(*x).alias("x"), fold.alias("fold"), F.explode(F.filter(pair, lambda p: p.isNotNull())).alias("p")).select(F.col("p.pair").alias("load_id"), F.col("p.y").alias("y"), "fold", "x")
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gradient and Hessian of a batch, summed per model (load, fold)."""
+        gone = c[:, 1 + i] < 0
+        x[:, 1 + 2 * i] = gone
+        x[:, 2 + 2 * i] = np.where(gone, 0, c[:, 1 + i] if i else (c[:, 1] + 0.5) / CELLS_PER_E - 2)
+    return x
+
+
+def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton's steps, halved where
+    they overshoot."""
+    pull = np.full(D, RIDGE)
+    pull[0] = 1e-6
+    loss = lambda b: (w * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ b))).sum() + (pull * b * b).sum() / 2
+    beta = np.zeros(D)
+    now = loss(beta)
+    while True:
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (w * (y - p)) - pull * beta)
+        while (then := loss(beta + step)) > now and np.abs(step).max() > SETTLED:
+            step = step / 2
+        if np.abs(step).max() <= SETTLED:
+            return beta
+        beta, now = beta + step, then
+
+
+def _auc(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Area under the ROC curve of weighted scores; ties count half."""
+    _, at = np.unique(z.round(9), return_inverse=True)
+    pos, neg = np.bincount(at, w * y), np.bincount(at, w * (1 - y))
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
+
+
+def _two_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drops = ["drop_" + f.replace("-", "_").lower() for f in FIELDS]
     for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        x = b.column("x").flatten().to_numpy().reshape(n, D)
-        beta = b.column("beta").flatten().to_numpy().reshape(n, D)
-        y = b.column("y").to_numpy()
-        load, fold = b.column("load_id").to_numpy(), b.column("fold").to_numpy()
-        key, inv = np.unique(np.stack([load, fold]), axis=1, return_inverse=True)
-        inv = inv.reshape(-1)
-        p = 1 / (1 + np.exp(-np.clip((x * beta).sum(1), -30, 30)))
-        g = np.zeros((key.shape[1], D))
-        np.add.at(g, inv, x * (y - p)[:, None])
-        h = np.zeros((key.shape[1], D * D))
-        np.add.at(h, inv, (x[:, :, None] * x[:, None, :] * (p * (1 - p))[:, None, None]).reshape(n, D * D))
-        flat = np.concatenate([g, h], 1)
-        k, width = flat.shape
-        yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype("int32")), pa.ListArray.from_arrays(np.arange(0, k * width + 1, width, dtype="int32"), flat.reshape(-1))], ["load_id", "fold", "s"])
-
-
-def _step(beta: pd.Series, s: pd.Series) -> pd.Series:
-    b, f = np.stack(beta.to_list()), np.stack(s.to_list())
-    pull = np.eye(D) * RIDGE
-    pull[0, 0] = 1e-6
-    g = f[:, :D] - b @ pull
-    return pd.Series(list(b + np.linalg.solve(f[:, D:].reshape(-1, D, D) + pull, g[:, :, None])[:, :, 0]))
+        rows = []
+        for load, own, other in zip(b.column("load_id").to_pylist(), b.column("own"), b.column("other")):
+            c = np.concatenate([np.array(s.as_py(), "int64") for s in (own, other)])
+            y = np.repeat([1.0, 0.0], [len(own), len(other)])
+            x, w, fold = _design(c), c[:, -1].astype("float64"), c[:, 0]
+            terms = np.zeros((len(c), D))
+            for f in (0, 1):  # each fold is scored by the model of the other
+                terms[fold == f] = x[fold == f] * _fit(x[fold != f], y[fold != f], w[fold != f])
+            full = _auc(terms.sum(1), y, w)
+            rows.append([load, int((w * y).sum()), int((w * (1 - y)).sum()), full, *[full - _auc(terms[:, OWNER != i].sum(1), y, w) for i in range(len(FIELDS))]])
+        names = ["load_id", "n_now", "n_before", "auc", *drops]
+        kinds = [b.schema.field("load_id").type, pa.int64(), pa.int64()] + [pa.float64()] * (1 + len(drops))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def drift(df: DataFrame) -> DataFrame:
@@ -200,33 +308,11 @@ def drift(df: DataFrame) -> DataFrame:
     ``load_id, n_now, n_before, auc`` and ``drop_<field>``, the discrimination
     lost when the field is neutralised.
 
-    Two folds: each row is scored by the model of the other fold. Newton steps
-    run as one distributed sum per step for all loads at once, so a load of any
-    size is never in one task. Scores are compared in 1,024 bins.
+    Two folds: each row is scored by the model of the other fold. Rows meet as
+    counted cells, combined before the shuffle, so a load of any size is a
+    bounded number of cells; the scores of cells are compared exactly.
     """
-    rows = checked(df)
-    loads = loads_in_order(rows)
-    obs = materialise(observations(rows, loads.select("load_id", "prev_id", "next_id")))
-    models = obs.select("load_id", "fold").distinct()
-    beta = materialise(models.select("load_id", "fold", F.array_repeat(F.lit(0.0), D).alias("beta")))
-    width = D + D * D
-    step = pandas_udf(_step, "array<double>")
-    for _ in range(STEPS):
-        part = obs.join(beta, ["load_id", "fold"]).mapInArrow(_sums, "load_id bigint, fold int, s array<double>")
-        total = part.groupBy("load_id", "fold").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
-        beta = materialise(beta.join(total, ["load_id", "fold"]).select("load_id", "fold", step("beta", "s").alias("beta")))
-    other = beta.select("load_id", (1 - F.col("fold")).alias("fold"), "beta")
-    scored = obs.join(other, ["load_id", "fold"])
-    term = F.zip_with("x", "beta", lambda a, b: a * b)
-    full = F.aggregate(term, F.lit(0.0), lambda s, v: s + v)
-    variants = [F.struct(F.lit("").alias("without"), full.alias("z"))]
-    for i, f in enumerate(FIELDS):
-        own = sum((F.get(term, F.lit(int(k))) for k in np.flatnonzero(OWNER == i)), F.lit(0.0))
-        variants.append(F.struct(F.lit(f).alias("without"), (full - own).alias("z")))
-    flat = scored.select("load_id", "y", F.inline(F.array(*variants)))
-    bins = flat.groupBy("load_id", "without", F.floor(BINS / (1 + F.exp(-F.col("z")))).alias("bin")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.partitionBy("load_id", "without").orderBy("bin")  # at most 1,025 rows each
-    cum = bins.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
-    auc = cum.groupBy("load_id", "without").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("n_now"), F.sum("neg").alias("n_before"))
-    pick = lambda f: F.max(F.when(F.col("without") == f, F.col("auc")))
-    return auc.groupBy("load_id").agg(F.max("n_now").alias("n_now"), F.max("n_before").alias("n_before"), pick("").alias("auc"), *[(pick("") - pick(f)).alias("drop_" + f.replace("-", "_").lower()) for f in FIELDS])
+    pairs = cells(checked(df))
+    drops = ", ".join("drop_" + f.replace("-", "_").lower() + " double" for f in FIELDS)
+    kind = pairs.schema["load_id"].dataType.simpleString()
+    return pairs.select("load_id", "own", "other").mapInArrow(_two_sample, f"load_id {kind}, n_now bigint, n_before bigint, auc double, {drops}")
