@@ -26,7 +26,6 @@ from covergrid.session import materialise
 
 NAME = "[A-Za-z0-9_]+"
 FIELDS = ("time", "finished", "VC-check", "diff-to-opt")
-BUCKETS_PER_E = 64  # buckets of a factor e, for the median
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -57,23 +56,6 @@ def violations(rows: DataFrame) -> DataFrame:
     return rows.select("load_id", "run_id", F.inline(flags)).where("bad").select("load_id", "field", F.lit("violation").alias("finding"), "run_id")
 
 
-def medians(rows: DataFrame) -> DataFrame:
-    """``load_id, median2``: twice the exact median of the valid times. Values
-    are counted per load and value, then a cumulative count over logarithmic
-    buckets (a bounded number a load) finds the buckets of the middle ranks, and
-    only their values are ranked; no load is ever sorted whole."""
-    v = rows.where("NOT n0 AND NOT bad0 AND load_id IS NOT NULL").groupBy("load_id", "num").agg(F.count(F.lit(1)).alias("c"))
-    v = v.withColumn("bucket", F.floor(F.log1p(F.col("num").cast("double")) * BUCKETS_PER_E))
-    v = materialise(v)
-    w = Window.partitionBy("load_id")
-    b = v.groupBy("load_id", "bucket").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy("bucket"))).withColumn("total", F.sum("c").over(w))
-    lo, hi = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
-    mid = b.where((F.col("upto") >= lo) & (F.col("upto") - F.col("c") < hi)).select("load_id", "bucket", (F.col("upto") - F.col("c")).alias("below"), "total")
-    r = v.join(mid, ["load_id", "bucket"]).withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("load_id", "bucket").orderBy("num")))
-    at = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("num")))
-    return r.groupBy("load_id").agg((at(lo) + at(hi)).alias("median2"))
-
-
 #: Time buckets of the classifiers, per factor e; at most 500, as times are capped.
 CELLS_PER_E = 8
 NEWTON = 12
@@ -86,23 +68,39 @@ def time_cell(num: Column) -> Column:
     return F.floor(F.log1p(num.cast("double")) * CELLS_PER_E).cast("int")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """``campaign, load_id, cell, rows`` and, per field i, nulls, valid rows and
+    hits: exact counts of each load by cell of its valid times (null: none)."""
+    counts = []
+    for i in range(len(FIELDS)):
+        ok = ~F.col(f"n{i}") & ~F.col(f"bad{i}")
+        counts += [F.count(F.when(F.col(f"n{i}"), 1)).alias(f"null{i}"), F.count(F.when(ok, 1)).alias(f"valid{i}"), F.count(F.when(ok & F.col(f"hit{i}"), 1)).alias(f"hits{i}")]
+    named = rows.where("load_id IS NOT NULL AND campaign IS NOT NULL").withColumn("cell", F.when(~F.col("n0") & ~F.col("bad0"), time_cell(F.col("num"))))
+    return named.groupBy("campaign", "load_id", "cell").agg(F.count(F.lit(1)).alias("rows"), *counts)
+
+
+def medians(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
+    """``campaign, load_id, median2``: twice the exact median of the valid times.
+    The cumulative count over the cells finds those of the middle ranks, and
+    only their values are counted and ranked; no load is ever sorted whole."""
+    w = Window.partitionBy("campaign", "load_id")  # at most 500 cells
+    b = by_cell.where("cell IS NOT NULL").select("campaign", "load_id", "cell", "rows", F.sum("rows").over(w.orderBy("cell")).alias("upto"), F.sum("rows").over(w).alias("total"))
+    lo, hi = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    mid = b.where((F.col("upto") >= lo) & (F.col("upto") - F.col("rows") < hi)).select("campaign", "load_id", "cell", (F.col("upto") - F.col("rows")).alias("below"), "total")
+    v = rows.where("NOT n0 AND NOT bad0 AND load_id IS NOT NULL AND campaign IS NOT NULL").groupBy("campaign", "load_id", time_cell(F.col("num")).alias("cell"), "num").agg(F.count(F.lit(1)).alias("c"))
+    r = v.join(mid, ["campaign", "load_id", "cell"]).withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("campaign", "load_id", "cell").orderBy("num")))
+    at = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("num")))
+    return r.groupBy("campaign", "load_id").agg((at(lo) + at(hi)).alias("median2"))
+
+
 def load_profile(rows: DataFrame) -> DataFrame:
     """Exact base aggregates of each load and the load before: ``load_id`` and,
     per field i, nulls, valid rows and hits of both, twice the medians, and
     ``times``, the valid times counted by cell. One row per load."""
-    counts, last = [], len(FIELDS)
-    for i in range(last):
-        ok = ~F.col(f"n{i}") & ~F.col(f"bad{i}")
-        counts += [F.count(F.when(F.col(f"n{i}"), 1)).alias(f"null{i}"), F.count(F.when(ok, 1)).alias(f"valid{i}"), F.count(F.when(ok & F.col(f"hit{i}"), 1)).alias(f"hits{i}")]
-    by_cell = (
-        rows.where("load_id IS NOT NULL AND campaign IS NOT NULL")
-        .withColumn("cell", F.when(~F.col("n0") & ~F.col("bad0"), time_cell(F.col("num"))))
-        .groupBy("campaign", "load_id", "cell")
-        .agg(F.count(F.lit(1)).alias("rows"), *counts)
-    )
-    names = ["rows", *[f"{c}{i}" for i in range(last) for c in ("null", "valid", "hits")]]
+    by_cell = materialise(counted(rows))
+    names = ["rows", *[f"{c}{i}" for i in range(len(FIELDS)) for c in ("null", "valid", "hits")]]
     times = F.sort_array(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "rows")))).alias("times")  # at most 500
-    base = by_cell.groupBy("campaign", "load_id").agg(times, *[F.sum(c).alias(c) for c in names]).join(medians(rows), "load_id", "left")
+    base = by_cell.groupBy("campaign", "load_id").agg(times, *[F.sum(c).alias(c) for c in names]).join(medians(rows, by_cell), ["campaign", "load_id"], "left")
     w = Window.partitionBy("campaign").orderBy("load_id")  # a row per load
     own = [*names, "times", "median2"]
     return base.select("load_id", F.lag("load_id").over(w).alias("prev_id"), *own, *[F.lag(c).over(w).alias(f"p_{c}") for c in own]).where("prev_id IS NOT NULL")
