@@ -25,6 +25,12 @@ ALIASES = {"last-k-diff-to-opttime": "last-k-diff-to-opt"}
 KINDS = ("whole", "decimal", "bool", "text")
 
 
+def _order():
+    """Loads of a campaign in order (a row per load); those without one are
+    each alone."""
+    return Window.partitionBy("campaign", F.when(F.col("campaign").isNull(), F.col("load_id"))).orderBy("written_at", "load_id")
+
+
 def _cells(value):
     return F.transform(F.split(value, ";"), lambda c: F.btrim(c, F.lit(PAD)))
 
@@ -33,62 +39,71 @@ class DriftReader:
     """Lines ``(load_id, campaign, written_at, line_no, value)`` of CSV files.
 
     Line 1 of a load is its header; a load without one has no fields. Null
-    lines are skipped. A cell beyond the header has the path ``#position`` and
-    is no field; a missing cell is empty. If a header repeats a name, the first
-    counts (the others are blanked once, in the header). Loads of one campaign are ordered by ``written_at``, then by
+    lines are skipped. A cell beyond the header is no field (``table`` keeps it
+    under its position); a missing cell is empty. If a header repeats a name, the
+    first counts. Loads of one campaign are ordered by ``written_at``, then by
     ``load_id``; loads without a campaign are compared with nothing. Repeated
     lines count as often as they stand there. Further columns are ignored.
+
+    Cells are aggregated by load and position, and only the aggregates meet the
+    names of the header, so no line is joined to be counted.
     """
 
     def __init__(self, lines: DataFrame):
         base = lines.select("load_id", "campaign", "written_at", F.col("line_no").cast("bigint").alias("line_no"), "value").where("value IS NOT NULL AND load_id IS NOT NULL")
-        self.lines = base
-        heads = base.where("line_no = 1").groupBy("load_id").agg(F.min(F.struct(_cells(F.col("value")).alias("names"))).alias("h")).select("load_id", F.col("h.names").alias("names"))
+        self.body = base.where("line_no > 1").select("load_id", "line_no", "value")
+        # a few rows a load: combined before the shuffle
+        seen = base.select("load_id", "campaign", "written_at", F.when(F.col("line_no") == 1, F.col("value")).alias("head")).distinct()
+        loads = seen.groupBy("load_id").agg(F.min("campaign").alias("campaign"), F.min("written_at").alias("written_at"), F.min(F.when(F.col("head").isNotNull(), _cells(F.col("head")))).alias("names"))
         once = F.transform("names", lambda x, i: F.when(F.array_position(F.col("names"), x) == i + 1, x).otherwise(F.lit("")))
-        heads = heads.select("load_id", once.alias("names"))
-        loads = base.groupBy("load_id").agg(F.min("campaign").alias("campaign"), F.min("written_at").alias("written_at"))
-        order = Window.partitionBy("campaign").orderBy("written_at", "load_id")  # a row per load
-        self.loads = materialise(
-            loads.join(heads, "load_id", "left")
-            .withColumn("prev_id", F.when(F.col("campaign").isNotNull(), F.lag("load_id").over(order)))
-            .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-        )
-        # lines travel as they are; they are cut into cells behind the shuffle
-        body = base.where("line_no > 1").select("load_id", "line_no", "value")
-        named = skew_join(body, self.loads.select("load_id", "names"), ["load_id"], F.col("line_no"))
-        self.rows = materialise(named.select("load_id", "line_no", "names", _cells(F.col("value")).alias("cells")))
+        self.loads = materialise(loads.select("load_id", "campaign", F.lag("load_id").over(_order()).alias("prev_id"), "written_at", F.coalesce(once, F.array().cast("array<string>")).alias("names")).withColumn("prev_id", F.when(F.col("campaign").isNotNull(), F.col("prev_id"))))
 
     def fields(self) -> DataFrame:
         """``load_id, path, position`` of each header, empty names left out."""
-        return (
-            self.loads.select("load_id", F.posexplode("names").alias("position", "path"))
-            .where("path <> ''")
-            .groupBy("load_id", "path")
-            .agg(F.min("position").alias("position"))
-        )
-
-    def values(self, wanted: DataFrame | None = None) -> DataFrame:
-        """``load_id, line_no, graph, path, value`` of each cell under a name;
-        only of the ``load_id, path`` wanted, if given. What isn't wanted is
-        dropped before rows become cells."""
-        pairs = F.arrays_zip(F.col("names").alias("names"), F.col("cells").alias("cells"))
-        rows = self.rows
-        if wanted is not None:
-            per_load = materialise(wanted.groupBy("load_id").agg(F.collect_set("path").alias("want")))  # a header's names at most
-            rows = skew_join(rows, per_load, ["load_id"], F.col("line_no"))
-            pairs = F.filter(pairs, lambda p: F.array_contains("want", p["names"]))
-        flat = rows.select("load_id", "line_no", F.element_at("cells", 1).alias("graph"), F.inline(pairs))
-        return flat.where("names <> ''").select("load_id", "line_no", "graph", F.col("names").alias("path"), F.coalesce("cells", F.lit("")).alias("value"))
+        return self.loads.select("load_id", F.posexplode("names").alias("position", "path")).where("path <> ''")
 
     def statistics(self) -> DataFrame:
         """Counts of each kind by load and path, and the kind that more than
         half of the filled values have (null if none)."""
-        v = self.values().withColumn("kind", F.when(F.col("value") != "", kind_of(F.col("value"))))
-        s = v.groupBy("load_id", "path").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        v = self.body.select("load_id", F.posexplode(_cells(F.col("value"))).alias("position", "value")).select("load_id", "position", F.when(F.col("value") != "", kind_of(F.col("value"))).alias("kind"))
+        s = v.groupBy("load_id", "position").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        lines = s.where("position = 0").select("load_id", F.col("n").alias("lines"))  # each line has a first cell
+        found = self.fields().join(s.drop("n"), ["load_id", "position"], "left").join(lines, "load_id", "left")
+        zero = lambda c: F.when(F.col("lines").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
+        found = found.select("load_id", "path", "position", F.col("lines").alias("n"), *[zero(c) for c in ("filled", *KINDS)])
         kind = F.lit(None).cast("string")
         for k in KINDS:
             kind = F.when(F.col(k) * 2 > F.col("filled"), F.lit(k)).otherwise(kind)
-        return self.fields().join(s, ["load_id", "path"], "left").withColumn("kind", kind)
+        return found.withColumn("kind", kind)
+
+    def _pairs(self) -> DataFrame:
+        """``load_id, prev_id, gone, new, retyped`` of each load and the one
+        before: arrays of (path, position, kind), no longer than a header."""
+        own = self.statistics().groupBy("load_id").agg(F.sort_array(F.collect_list(F.struct("path", "position", "kind"))).alias("now"))
+        both = self.loads.select("load_id", "prev_id", "campaign", "written_at").join(own, "load_id", "left")
+        empty = F.array().cast("array<struct<path:string,position:int,kind:string>>")
+        both = both.withColumn("now", F.coalesce("now", empty))
+        both = both.withColumn("was", F.lag("now").over(_order())).where("prev_id IS NOT NULL")
+        there = lambda xs, x: F.exists(xs, lambda y: y["path"] == x["path"])
+        other = lambda xs, x: F.exists(xs, lambda y: (y["path"] == x["path"]) & (y["kind"] != x["kind"]))
+        return both.select("load_id", "prev_id", F.filter("was", lambda x: ~there("now", x)).alias("gone"), F.filter("now", lambda x: ~there("was", x)).alias("new"), F.filter("now", lambda x: F.coalesce(other("was", x), F.lit(False))).alias("retyped"))
+
+    def _same(self, pairs: DataFrame) -> DataFrame:
+        """``load_id, fits``: (position before, position now) of gone and new
+        fields that hold the same set of values for each graph in both loads.
+        A set of values is compared by its size and 128 bits of hash."""
+        asked = pairs.where("size(gone) > 0 AND size(new) > 0")
+        sides = F.array(*[F.struct(F.col(i).alias("load_id"), F.lit(k).alias("side"), F.col(c)["position"].alias("wanted")) for k, i, c in ((0, "prev_id", "gone"), (1, "load_id", "new"))])
+        wanted = asked.select(F.col("load_id").alias("pair"), F.inline(sides))
+        rows = skew_join(self.body, wanted, ["load_id"], F.col("line_no")).select("pair", "side", "wanted", _cells(F.col("value")).alias("cells"))
+        cells = rows.select("pair", "side", F.get("cells", 0).alias("graph"), F.inline(F.transform("wanted", lambda p: F.struct(p.alias("position"), F.coalesce(F.get("cells", p), F.lit("")).alias("value")))))
+        digest = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("value")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("y"))
+        sets = cells.distinct().groupBy("pair", "graph", "side", "position").agg(digest.alias("h"))
+        side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("position", "h")))
+        met = sets.groupBy("pair", "graph").agg(side(0).alias("old"), side(1).alias("new")).where("size(old) > 0 AND size(new) > 0")
+        each = met.select("pair", F.explode("old").alias("o"), "new").select("pair", "o", F.explode("new").alias("n"))
+        equal = each.groupBy("pair", F.col("o.position").alias("before"), F.col("n.position").alias("now")).agg(F.min(F.col("o.h") == F.col("n.h")).alias("equal"))
+        return equal.where("equal").groupBy(F.col("pair").alias("load_id")).agg(F.collect_list(F.struct("before", "now")).alias("fits"))
 
     def changes(self) -> DataFrame:
         """``load_id, change, old_name, new_name`` against the load before.
@@ -97,33 +112,24 @@ class DriftReader:
         least one), they hold the same set of values for each. If several fit,
         the closest spelling wins, each name once.
         """
-        stats = materialise(self.statistics().select("load_id", "path", "kind"))
-        pairs = self.loads.where("prev_id IS NOT NULL").select("load_id", "prev_id")
-        cur = pairs.join(stats, "load_id").select("load_id", "prev_id", "path", F.col("kind").alias("now"), F.lit(True).alias("in_now"))
-        old = pairs.join(stats.withColumnRenamed("load_id", "prev_id"), "prev_id").select("load_id", "prev_id", "path", F.col("kind").alias("was"), F.lit(True).alias("in_old"))
-        status = materialise(cur.join(old, ["load_id", "prev_id", "path"], "full"))
-        gone = status.where("in_now IS NULL").select("load_id", "prev_id", "path")
-        new = status.where("in_old IS NULL").select("load_id", "prev_id", "path")
-        # both names are needed for a rename: only such pairs of loads read their values again
-        both = gone.select("load_id").distinct().join(new.select("load_id").distinct(), "load_id")
-        old_want = gone.join(both, "load_id", "left_semi")
-        old_values = self.values(old_want.select(F.col("prev_id").alias("load_id"), "path"))
-        after = pairs.select(F.col("prev_id").alias("before"), F.col("load_id").alias("now"))
-        had = skew_join(old_values, after.withColumnRenamed("before", "load_id"), ["load_id"], F.col("line_no")).select(F.col("now").alias("load_id"), "graph", F.col("path").alias("old_name"), "value").distinct()
-        has = self.values(new.join(both, "load_id", "left_semi").select("load_id", "path")).select("load_id", "graph", F.col("path").alias("new_name"), "value").distinct()
-        had, has = materialise(had), materialise(has)
-        common = had.select("load_id", "graph").distinct().join(has.select("load_id", "graph").distinct(), ["load_id", "graph"])
-        n_old = had.join(common, ["load_id", "graph"], "left_semi").groupBy("load_id", "old_name").agg(F.count(F.lit(1)).alias("n_old"))
-        n_new = has.join(common, ["load_id", "graph"], "left_semi").groupBy("load_id", "new_name").agg(F.count(F.lit(1)).alias("n_new"))
-        same = had.join(has, ["load_id", "graph", "value"]).groupBy("load_id", "old_name", "new_name").agg(F.count(F.lit(1)).alias("n"))
-        fits = same.join(n_old, ["load_id", "old_name"]).join(n_new, ["load_id", "new_name"]).where("n = n_old AND n = n_new")
-        near = F.struct(F.levenshtein(F.lower("old_name"), F.lower("new_name")).alias("d"), "old_name", "new_name")
-        best = fits.withColumn("a", F.min(near).over(Window.partitionBy("load_id", "old_name"))).withColumn("b", F.min(near).over(Window.partitionBy("load_id", "new_name"))).where((F.col("a") == near) & (F.col("b") == near))
-        renamed = materialise(best.select("load_id", F.lit("renamed").alias("change"), "old_name", "new_name"))
-        removed = gone.join(renamed.select("load_id", F.col("old_name").alias("path")), ["load_id", "path"], "left_anti").select("load_id", F.lit("removed").alias("change"), F.col("path").alias("old_name"), F.lit("").alias("new_name"))
-        added = new.join(renamed.select("load_id", F.col("new_name").alias("path")), ["load_id", "path"], "left_anti").select("load_id", F.lit("added").alias("change"), F.lit("").alias("old_name"), F.col("path").alias("new_name"))
-        retyped = status.where("in_now AND in_old AND now <> was").select("load_id", F.lit("retyped").alias("change"), F.col("path").alias("old_name"), F.col("path").alias("new_name"))
-        return renamed.unionByName(removed).unionByName(added).unionByName(retyped)
+        pairs = materialise(self._pairs())
+        found = pairs.join(self._same(pairs), "load_id", "left")
+        name = lambda xs, p: F.get(F.filter(xs, lambda x: x["position"] == p), F.lit(0))["path"]
+        named = F.transform(F.coalesce("fits", F.array().cast("array<struct<before:int,now:int>>")), lambda f: F.struct(name("gone", f["before"]).alias("old_name"), name("new", f["now"]).alias("new_name")))
+        ranked = F.transform(named, lambda f: F.struct(F.levenshtein(F.lower(f["old_name"]), F.lower(f["new_name"])).alias("d"), f["old_name"].alias("old_name"), f["new_name"].alias("new_name")))
+        found = found.select("load_id", "gone", "new", "retyped", ranked.alias("fits"))
+        beaten = lambda f, c: F.exists("fits", lambda g: (g[c] == f[c]) & (g < f))
+        found = found.select("load_id", "gone", "new", "retyped", F.filter("fits", lambda f: ~beaten(f, "old_name") & ~beaten(f, "new_name")).alias("renamed"))
+        row = lambda change, old, new: F.struct(F.lit(change).alias("change"), old.alias("old_name"), new.alias("new_name"))
+        none = F.lit("")
+        left = lambda xs, c: F.filter(xs, lambda x: ~F.exists("renamed", lambda r: r[c] == x["path"]))
+        report = F.concat(
+            F.transform("renamed", lambda r: row("renamed", r["old_name"], r["new_name"])),
+            F.transform(left("gone", "old_name"), lambda x: row("removed", x["path"], none)),
+            F.transform(left("new", "new_name"), lambda x: row("added", none, x["path"])),
+            F.transform("retyped", lambda x: row("retyped", x["path"], x["path"])),
+        )
+        return found.select("load_id", F.inline(report))
 
     def lineage(self) -> DataFrame:
         """``load_id, path, root``: the name under which a field first stood in
@@ -142,8 +148,9 @@ class DriftReader:
         return node.select("load_id", "path", "root")
 
     def table(self) -> DataFrame:
-        """All rows under the fixed fields, as text, with further fields in the
-        map ``extra``; ``project`` types them."""
+        """All rows under the fixed fields, as text; further fields in the map
+        ``extra`` by name, cells beyond the header in the map ``overflow`` by
+        position (from 1). ``project`` types them."""
         plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
         names = [(x, x) for x in FIXED] + list(ALIASES.items())
         target = F.lit(None).cast("string")
@@ -151,24 +158,24 @@ class DriftReader:
             target = F.when(plain(F.col("root")) == "".join(ch for ch in name.lower() if ch.isalnum()), to).otherwise(target)
         # the first field is the graph file, whatever its name
         named = self.lineage().join(self.fields(), ["load_id", "path"]).withColumn("target", F.when(F.col("position") == 0, "file").otherwise(target))
-        once = Window.partitionBy("load_id", "target").orderBy("position")
-        named = named.withColumn("target", F.when(F.col("target").isNotNull() & (F.row_number().over(once) == 1), F.col("target")))
-        per_load = named.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.coalesce("target", F.concat(F.lit("+"), "path"))))).alias("to"))  # a header's names
-        rows = skew_join(self.rows, per_load, ["load_id"], F.col("line_no"), "left")
-        cell = F.transform("names", lambda x, i: F.struct(F.element_at("to", x).alias("k"), F.coalesce(F.get("cells", i), F.lit("")).alias("v")))
-        kept = F.filter(cell, lambda s: s["k"].isNotNull())
-        kv = F.map_from_entries(F.transform(kept, lambda s: F.struct(s["k"], s["v"])))
-        over = F.transform(F.sequence(F.size("names"), F.size("cells") - 1), lambda i: F.struct(F.concat(F.lit("+#"), (i + 1).cast("string")), F.get("cells", i)))
-        kv = F.when(F.size("cells") > F.size("names"), F.map_concat(kv, F.map_from_entries(over))).otherwise(kv)
-        flat = rows.select("load_id", "line_no", kv.alias("kv"))
-        extra = F.transform_keys(F.map_filter("kv", lambda k, v: k.startswith("+")), lambda k, v: F.substring(k, 2, 10_000))
-        return flat.select("load_id", "line_no", *[F.nullif(F.element_at("kv", F.lit(f)), F.lit("")).alias(f) for f in FIXED], extra.alias("extra"))
+        once = Window.partitionBy("load_id", "target").orderBy("position")  # a header's names
+        named = named.withColumn("fixed", F.col("target").isNotNull() & (F.row_number().over(once) == 1))
+        cell = F.struct(F.when(F.col("fixed"), F.col("target")).otherwise(F.col("path")).alias("name"), "position")
+        kept = lambda fixed: F.collect_list(F.when(F.col("fixed") == fixed, cell))
+        per_load = self.loads.select("load_id", F.size("names").alias("width")).join(named.groupBy("load_id").agg(kept(True).alias("fixed"), kept(False).alias("more")), "load_id", "left")
+        rows = skew_join(self.body, per_load, ["load_id"], F.col("line_no")).withColumn("cells", _cells(F.col("value")))
+        none = F.array().cast("array<struct<name:string,position:int>>")
+        filled = lambda xs: F.map_from_entries(F.transform(F.coalesce(xs, none), lambda x: F.struct(x["name"], F.coalesce(F.get("cells", x["position"]), F.lit("")))))
+        beyond = F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0)))
+        over = F.map_from_entries(F.transform(beyond, lambda c, i: F.struct(i + F.col("width") + 1, c)))
+        flat = rows.select("load_id", "line_no", filled("fixed").alias("kv"), filled("more").alias("extra"), over.alias("overflow"))
+        return flat.select("load_id", "line_no", *[F.nullif(F.element_at("kv", F.lit(f)), F.lit("")).alias(f) for f in FIXED], "extra", "overflow")
 
     def project(self) -> tuple[DataFrame, DataFrame]:
         """The typed table, and ``load_id, line_no, field, value`` of each value
         that its field's type can't hold (null in the table)."""
         raw = self.table()
-        typed = raw.select("load_id", "line_no", *[F.col(f"`{f}`").try_cast(t).alias(f) for f, t in FIXED.items()], "extra")
+        typed = raw.select("load_id", "line_no", *[F.col(f"`{f}`").try_cast(t).alias(f) for f, t in FIXED.items()], "extra", "overflow")
         cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value"), F.col(f"`{f}`").try_cast(t).isNull().alias("bad")) for f, t in FIXED.items() if t != "string"])
         failed = raw.select("load_id", "line_no", F.inline(cells)).where("bad AND value IS NOT NULL").drop("bad")
         return typed, failed

@@ -24,7 +24,7 @@ def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     typed, _ = DriftReader(table(spark, d, "result_lines")).project()
-    return typed.withColumn("extra", F.to_json("extra"))
+    return typed.withColumns({c: F.to_json(c) for c in ("extra", "overflow")})
 
 
 def p2_failed_casts(spark: SparkSession, d: str) -> DataFrame:

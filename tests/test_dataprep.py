@@ -56,11 +56,20 @@ def test_one_table_with_fixed_fields(spark):
     assert len(rows) == sum(r[5] > 1 for r in DRIFT)
     assert rows[2, 2].time == 1.5 and rows[2, 2].n is None and rows[2, 2].file == "g1" and rows[2, 2].extra == {"note": "x"}
     assert rows[5, 2].file == "g1" and rows[5, 2].extra == {"flag": "true"}
-    assert rows[3, 4].extra == {"note": "z", "extra": "", "#6": "over"} and rows[3, 4].n is None
+    assert rows[3, 4].extra == {"note": "z", "extra": ""} and rows[3, 4].overflow == {6: "over"} and rows[3, 4].n is None
     assert rows[3, 5].file == "g4" and rows[3, 5].time is None
     assert {(r.load_id, r.line_no, r.field, r.value) for r in failed.collect()} == {(2, 2, "n", "a"), (2, 3, "n", "b"), (2, 4, "n", "c"), (2, 5, "n", "c"), (8, 2, "time", "oops")}
 
 
+def test_names_that_look_like_positions_and_very_long_names(spark):
+    long = "x" * 20_000
+    lines = files(("a", 1, [f"file;time;#5;{long}", f"g1;1;2;3;4;5", "g2", "g3;;;;;"]), ("b", 1, ["a;b"]), (None, 1, ["only", "g;h"]))
+    rows = {(r.load_id, r.line_no): r for r in DriftReader(spark.createDataFrame(lines, LINES)).project()[0].collect()}
+    assert rows[1, 2].extra == {"#5": "2", long: "3"} and rows[1, 2].overflow == {5: "4", 6: "5"}
+    assert rows[1, 3].extra == {"#5": "", long: ""} and rows[1, 3].overflow == {}
+    assert rows[1, 4].overflow == {5: "", 6: ""} and rows[3, 2].overflow == {2: "h"}
+
+
 def test_empty_lines_table(spark):
     r = DriftReader(spark.createDataFrame([], LINES))
     assert r.changes().count() == 0 and r.project()[0].count() == 0
