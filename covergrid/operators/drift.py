@@ -66,9 +66,9 @@ class DriftReader:
         """Counts of each kind by load and path, and the kind that more than
         half of the filled values have (null if none)."""
         v = self.body.select("load_id", F.posexplode(_cells(F.col("value"))).alias("position", "value")).select("load_id", "position", F.when(F.col("value") != "", kind_of(F.col("value"))).alias("kind"))
-        s = v.groupBy("load_id", "position").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
-        lines = s.where("position = 0").select("load_id", F.col("n").alias("lines"))  # each line has a first cell
-        found = self.fields().join(s.drop("n"), ["load_id", "position"], "left").join(lines, "load_id", "left")
+        s = v.groupBy("load_id", "position").agg(F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        lines = self.body.groupBy("load_id").agg(F.count(F.lit(1)).alias("lines"))
+        found = self.fields().join(s, ["load_id", "position"], "left").join(lines, "load_id", "left")
         zero = lambda c: F.when(F.col("lines").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
         found = found.select("load_id", "path", "position", F.col("lines").alias("n"), *[zero(c) for c in ("filled", *KINDS)])
         kind = F.lit(None).cast("string")
