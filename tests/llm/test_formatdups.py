@@ -83,3 +83,17 @@ def test_collapsed_and_rejected_hold_every_record(spark, data):
     assert one + f.rejected().count() == df.count()
     g = FormatDuplicates(more, "edge_id", ["file"], ["vertex0", "vertex1"])
     assert sorted((r.first_id, r.n_copies) for r in g.rejected().collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_dictionary_counts_records_and_tasks_may_forget(spark, monkeypatch):
+    f = edges(spark.createDataFrame(DATA, SCHEMA))
+    got = {(r.domain, r.form): r.n for r in f.dictionary().collect()}
+    assert got[(1, "hub")] == 7 and got[(1, "v1")] == 8 and got[(0, "f")] == 13
+    assert len({r.id for r in f.dictionary().collect() if r.domain == 1}) == sum(k[0] == 1 for k in got)
+    run, names, _ = formatdups._encoder(1, 2, {})
+    batch = spark.createDataFrame(DATA, SCHEMA).select("edge_id", "file", "vertex0", "vertex1").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(formatdups, "MEMORY", 0)
+    parts = [x for b in run(batch.slice(i, 1) for i in range(len(DATA))) for x in b.to_pylist()]
+    whole = [x for b in run([batch]) for x in b.to_pylist()]
+    assert [x for x in parts if x["kind"] != 2] == [x for x in whole if x["kind"] != 2]
+    assert sum(x["n"] for x in parts if x["kind"] == 2) == sum(x["n"] for x in whole if x["kind"] == 2)
