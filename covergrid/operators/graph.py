@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergrid.operators.salting import heavy_keys, skew_join
-from covergrid.session import materialise
+from covergrid.operators import arrays as A
+from covergrid.operators.salting import HEAVY_ROWS, HEAVY_SHARE, skew_join
+from covergrid.session import discard, materialise
 
 
 def canonical(raw: DataFrame, a: str, b: str) -> DataFrame:
@@ -129,10 +130,11 @@ def min_degree_vertex(e: DataFrame) -> DataFrame:
 def max_degree_min_neighbour_sum(e: DataFrame) -> DataFrame:
     """Among vertices of maximum degree, that whose neighbours' degrees sum to
     the least: ``id, deg, nbsum``."""
-    d = degrees(e)
+    d = materialise(degrees(e))
     top = d.join(F.broadcast(d.agg(F.max("deg").alias("deg"))), "deg")
-    s = symmetric(e).join(top.withColumnRenamed("id", "u"), "u")
-    return s.join(d.select(F.col("id").alias("v"), F.col("deg").alias("nd")), "v").groupBy(F.col("u").alias("id"), "deg").agg(F.sum("nd").alias("nbsum")).orderBy("nbsum", "id").limit(1)
+    s, hot = symmetric(e), hubs(d)
+    s = skew_join(s, top.withColumnRenamed("id", "u"), ["u"], F.col("v"), heavy=hot)
+    return skew_join(s, d.select(F.col("id").alias("v"), F.col("deg").alias("nd")), ["v"], F.col("u"), heavy=hot).groupBy(F.col("u").alias("id"), "deg").agg(F.sum("nd").alias("nbsum")).orderBy("nbsum", "id").limit(1)
 
 
 def random_vertex(e: DataFrame, seed: int, top_bucket: bool = False) -> DataFrame:
@@ -190,13 +192,32 @@ def relabel(e: DataFrame, to: DataFrame) -> DataFrame:
 # --- triangles, components, verification ------------------------------------
 
 
+def hubs(d: DataFrame) -> list[tuple]:
+    """Vertices of ``degrees`` that hold so many edge ends that joins on them
+    are salted: at most ``1 / HEAVY_SHARE``, as key tuples."""
+    ends = d.agg(F.sum("deg")).first()[0] or 0
+    if ends < HEAVY_ROWS:
+        return []
+    least = max(HEAVY_ROWS, ends * HEAVY_SHARE)
+    return [(r.id,) for r in d.where(F.col("deg") >= least).select("id").collect()]
+
+
+def with_ends(e: DataFrame, of: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Edges with the columns of ``of(id, ...)`` for each end, named ``..._u``
+    and ``..._v``; hubs are salted."""
+    for end, other in (("u", "v"), ("v", "u")):
+        own = of.select(F.col("id").alias(end), *[F.col(f"`{c}`").alias(f"{c}_{end}") for c in of.columns if c != "id"])
+        e = skew_join(e, own, [end], F.col(other), heavy=hot)
+    return e
+
+
 def common_neighbours(e: DataFrame) -> DataFrame:
     """``u, v, common`` for edges with at least one common neighbour. Edges
     point from the lower to the higher degree, so wedges are O(m**1.5) even
     around hubs; each triangle is found once."""
-    d = degrees(e)
-    x = e.join(d.select(F.col("id").alias("u"), F.col("deg").alias("du")), "u").join(d.select(F.col("id").alias("v"), F.col("deg").alias("dv")), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    d = materialise(degrees(e))
+    x = with_ends(e, d, hubs(d))
+    up = (F.col("deg_u") < F.col("deg_v")) | ((F.col("deg_u") == F.col("deg_v")) & (F.col("u") < F.col("v")))
     o = materialise(x.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("t")))
     wedge = o.join(o.withColumnRenamed("t", "t2"), "s").where("t < t2").select("s", F.col("t").alias("u"), F.col("t2").alias("v"))
     tri = wedge.join(e, ["u", "v"])
@@ -204,34 +225,41 @@ def common_neighbours(e: DataFrame) -> DataFrame:
     return tri.select(F.inline(sides)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
 
 
-def components(e: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     """``id, component``: the smallest vertex id of each component.
 
-    Every round takes the least label of the neighbours, then follows labels to
-    their own label, so long paths shrink by halves. Hubs are salted in the
-    join; state is written each round, so a lost executor costs one round.
+    While there are more than ``edges`` edges, every vertex hooks onto the vertex
+    of least hash among itself and its neighbours, and edges are carried over to
+    what was hooked onto; about half of the vertices of a path go in a round,
+    more elsewhere, so rounds are few and their sizes add up to a multiple of
+    the input. The rest is finished in one task. Labels come back round by
+    round. Hubs are salted; every round is written, so a lost executor costs a
+    round at most.
     """
-    s = materialise(symmetric(e))
-    heavy = [tuple(r) for r in heavy_keys(s, ["v"]).collect()]
-    label = materialise(s.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    for _ in range(max_rounds):
-        seen = skew_join(s, label.select(F.col("id").alias("v"), "component"), ["v"], F.col("u"), heavy=heavy)
-        low = seen.groupBy(F.col("u").alias("id")).agg(F.min("component").alias("low"))
-        hooked = materialise(label.join(low, "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("was")))
-        # a lower label of a vertex is one for the vertex whose id was its label,
-        # and every vertex then takes over the label of its label
-        best = hooked.groupBy(F.col("was").alias("id")).agg(F.min("component").alias("best"))
-        after = hooked.join(best, "id", "left").select(F.col("id").alias("component"), F.least("component", F.coalesce("best", "component")).alias("next"))
-        jumped = materialise(hooked.join(after, "component").select("id", F.least("component", "next").alias("component"), "was"))
-        label = jumped.select("id", "component")
-        if jumped.where("component <> was").isEmpty():
-            return label
-    raise RuntimeError("components didn't settle")
+    left, hooks = materialise(e.select("u", "v")), []
+    while left.count() > edges:
+        least = lambda c: F.struct(F.xxhash64(c, F.lit(len(hooks))).alias("h"), F.col(c).alias("id"))
+        near = symmetric(left).groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min(least("v")).alias("low"))
+        hook = materialise(near.select(F.col("u").alias("id"), "deg", F.least("low", least("u"))["id"].alias("rep")))
+        moved = with_ends(left, hook.select("id", "rep"), hubs(hook))
+        after = materialise(canonical(moved.select("rep_u", "rep_v"), "rep_u", "rep_v"))
+        discard(left)
+        left = after
+        hooks.append(hook.select("id", "rep"))
+    kind = e.schema["u"].dataType.simpleString()
+    label = A.in_one_task(left, lambda u, v: (list(A.components(u, v)), ["id", "component"]), f"id {kind}, component {kind}")
+    if not hooks:
+        return materialise(label)
+    for hook in reversed(hooks):
+        up = skew_join(hook, label.select(F.col("id").alias("rep"), "component"), ["rep"], F.col("id"), "left")
+        label = materialise(up.select("id", F.coalesce("component", "rep").alias("component")))
+    names = label.groupBy("component").agg(F.min("id").alias("name"))
+    return materialise(skew_join(label, names, ["component"], F.col("id")).select("id", F.col("name").alias("component")))
 
 
 def reached(e: DataFrame, ids: DataFrame) -> DataFrame:
     """``id`` of all vertices in the components of ``ids(id)``."""
-    c = materialise(components(e))
+    c = components(e)
     own = c.join(ids.select("id"), "id", "left_semi").select("component").distinct()
     return c.join(own, "component", "left_semi").select("id")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from covergrid.operators import graph as G
 from covergrid.operators.salting import heavy_keys, skew_join
-from covergrid.session import materialise
+from covergrid.session import discard, materialise
 
 #: Undo log of one round: what was taken, or what decides between two takings.
 LOG = "round int, kind string, v bigint, watch array<bigint>, other array<bigint>"
@@ -29,10 +29,13 @@ def leaves(e: DataFrame) -> DataFrame:
 
 
 def r1_batch(e: DataFrame) -> DataFrame:
-    """``id`` to take: neighbours of leaves; of two joined leaves the smaller."""
-    d = G.degrees(e)
-    s = G.symmetric(e).join(d.where("deg = 1").select(F.col("id").alias("u")), "u", "left_semi").join(d.select(F.col("id").alias("v"), F.col("deg").alias("dv")), "v")
-    return s.select(F.when(F.col("dv") == 1, F.least("u", "v")).otherwise(F.col("v")).alias("id")).distinct()
+    """``id`` to take: neighbours of leaves; of two joined leaves the smaller.
+    Leaves are combined by their neighbour before it is looked up, so a hub with
+    many leaves is one row."""
+    own = leaves(e)
+    at = G.symmetric(e).join(own.withColumnRenamed("id", "u"), "u", "left_semi").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leaf"))
+    both = at.join(own.withColumn("also", F.lit(True)), "id", "left")
+    return both.select(F.when(F.col("also"), F.least("id", "leaf")).otherwise(F.col("id")).alias("id")).distinct()
 
 
 def ego(e: DataFrame, d: int) -> DataFrame:
@@ -90,16 +93,20 @@ def dominators(e: DataFrame) -> DataFrame:
     only, and only towards vertices of at least the same degree.
     """
     d = materialise(G.degrees(e))
-    s = materialise(G.symmetric(e).join(d.select(F.col("id").alias("u"), F.col("deg").alias("du")), "u").join(d.select(F.col("id").alias("v"), F.col("deg").alias("dv")), "v"))
+    hot = G.hubs(d)
+    both = G.with_ends(e, d, hot)
+    s = materialise(both.select(F.inline(F.array(F.struct("u", "v", F.col("deg_u").alias("du"), F.col("deg_v").alias("dv")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("deg_v").alias("du"), F.col("deg_u").alias("dv"))))))
     # two neighbours of least degree of each v: at least one of them isn't u
-    least = s.groupBy(F.col("u").alias("v")).agg(F.min(F.struct("dv", "v")).alias("w1"))
-    second = s.join(least, s.u == least.v).where(s.v != F.col("w1.v")).groupBy(s.u.alias("v")).agg(F.min(F.struct(s.dv, s.v)).alias("w2"))
-    wit = least.select("v", F.col("w1.v").alias("w1")).join(second.select("v", F.col("w2.v").alias("w2")), "v", "left")
-    cand = s.where("dv <= du").select("u", "v", "dv").join(wit, "v").withColumn("w", F.when(F.col("w1") != F.col("u"), F.col("w1")).otherwise(F.col("w2")))
+    least = materialise(s.groupBy(F.col("u").alias("v")).agg(F.min(F.struct("dv", F.col("v").alias("w"))).alias("w1")))
+    second = skew_join(s.select(F.col("u").alias("v"), F.col("v").alias("w"), "dv"), least, ["v"], F.col("w"), heavy=hot)
+    second = second.where("w <> w1.w").groupBy("v").agg(F.min(F.struct("dv", "w")).alias("w2"))
+    wit = least.select("v", F.col("w1.w").alias("w1")).join(second.select("v", F.col("w2.w").alias("w2")), "v", "left")
+    cand = skew_join(s.where("dv <= du").select("u", "v", "dv"), wit, ["v"], F.col("u"), heavy=hot).withColumn("w", F.when(F.col("w1") != F.col("u"), F.col("w1")).otherwise(F.col("w2")))
     plain = s.select(F.col("u").alias("x"), F.col("v").alias("w"))
     passed = cand.where("w IS NOT NULL").join(plain.withColumnRenamed("x", "u"), ["u", "w"], "left_semi").select("u", "v", "dv").unionByName(cand.where("w IS NULL").select("u", "v", "dv"))
     passed = materialise(passed)
-    wedge = passed.join(plain.withColumnRenamed("x", "v"), "v").where("w <> u")
+    # only vertices of at least v's degree are beside a hub v here, so its rows are few to copy
+    wedge = skew_join(plain.withColumnRenamed("x", "v"), passed, ["v"], F.col("w"), heavy=hot).where("w <> u")
     common = wedge.join(plain.withColumnRenamed("x", "u"), ["u", "w"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
     return passed.join(common, ["u", "v"], "left").where(F.coalesce("c", F.lit(0)) == F.col("dv") - 1).select("u", "v")
 
@@ -179,7 +186,9 @@ def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None) -> Data
     near = own
     for _ in range(4):
         seen = skew_join(s, near.select(F.col("id").alias("v"), "first"), ["v"], F.col("u"), heavy=heavy)
-        near = materialise(seen.select(F.col("u").alias("id"), "first").unionByName(near).groupBy("id").agg(F.min("first").alias("first")))
+        after = materialise(seen.select(F.col("u").alias("id"), "first").unionByName(near).groupBy("id").agg(F.min("first").alias("first")))
+        discard(near)
+        near = after
     return cases.join(near.where(F.col("first.c") == F.col("id")).select(F.col("id").alias("v")), "v", "left_semi")
 
 
@@ -301,10 +310,13 @@ def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), enough:
             log = materialise(log)
             if log.isEmpty():
                 idle += 1
+                discard(log)
             else:
                 idle = 0
                 rounds.append(log)
-                e = materialise(out)
+                after = materialise(out)
+                discard(e)
+                e = after
                 left = e.count()
             if left <= enough or idle == len(order):
                 break

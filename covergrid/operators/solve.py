@@ -9,14 +9,18 @@ their double cover, found by layered joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covergrid.operators import arrays as A
 from covergrid.operators import graph as G
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
-from covergrid.session import materialise
+from covergrid.session import discard, materialise
 
 KERNEL_EDGES = 500_000
 #: Edges below which rounds over DataFrames cost more than the kernels' own rules.
@@ -45,19 +49,30 @@ def _graph(pdf: pd.DataFrame) -> K.Graph:
     return K.build(zip(pdf["u"].tolist(), pdf["v"].tolist()))
 
 
-def matching(e: DataFrame) -> DataFrame:
+def _hubs(e: DataFrame) -> list[tuple]:
+    d = materialise(G.degrees(e))
+    hot = G.hubs(d)
+    discard(d)
+    return hot
+
+
+def matching(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     """A maximal matching ``u, v`` by rounds: an edge enters if its hash is the
     least at both ends. Its size is a lower bound, its ends a cover of at most
-    twice the optimum."""
-    left, out = materialise(e), None
-    while not left.isEmpty():  # the least hash of all always enters
+    twice the optimum. At most ``edges`` edges are finished in one task, by the
+    same rule."""
+    left, out, hot = materialise(e.select("u", "v")), [], None
+    while left.count() > edges:  # the least hash of all always enters
+        hot = _hubs(left) if hot is None else hot
         key = left.withColumn("h", F.struct(F.xxhash64("u", "v"), "u", "v"))
         low = key.select(F.explode(F.array("u", "v")).alias("id"), "h").groupBy("id").agg(F.min("h").alias("low"))
-        won = key.join(low.select(F.col("id").alias("u"), F.col("low").alias("lu")), "u").join(low.select(F.col("id").alias("v"), F.col("low").alias("lv")), "v").where("h = lu AND h = lv").select("u", "v")
-        won = materialise(won)
-        out = won if out is None else out.unionByName(won)
-        left = materialise(G.delete_vertices(left, G.vertices(won)))
-    return out if out is not None else e.limit(0)
+        won = materialise(G.with_ends(key, low, hot).where("h = low_u AND h = low_v").select("u", "v"))
+        out.append(won)
+        after = materialise(G.delete_vertices(left, G.vertices(won)))
+        discard(left)
+        left = after
+    rest = A.in_one_task(left, lambda u, v: ([x.filter(pa.array(A.matching(u.to_numpy(), v.to_numpy()))) for x in (u, v)], ["u", "v"]), "u bigint, v bigint")
+    return reduce(DataFrame.unionByName, out, rest)
 
 
 def maximum_double_matching(e: DataFrame) -> DataFrame:
@@ -104,21 +119,27 @@ def maximum_double_matching(e: DataFrame) -> DataFrame:
         phase += 1
 
 
-def greedy_rounds(e: DataFrame) -> DataFrame:
+def greedy_rounds(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     """Distributed greedy cover ``id``: each round takes every vertex whose
     (degree, then hash of id and round) is the greatest in its closed
     neighbourhood, until no edge is left. The greatest of all is always taken,
     so this ends; ties by hash let chains and grids go in few rounds whatever
-    the order of their ids."""
-    left, cover, k = materialise(e), None, 0
-    while not left.isEmpty():
-        d = G.degrees(left).select("id", F.struct("deg", F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("rank"))
-        s = G.symmetric(left).join(d.select(F.col("id").alias("v"), F.col("rank").alias("rv")), "v").groupBy(F.col("u").alias("id")).agg(F.max("rv").alias("most"))
-        top = materialise(d.join(s, "id").where("rank > most").select("id"))
-        cover = top if cover is None else cover.unionByName(top)
-        left = materialise(G.delete_vertices(left, top))
-        k += 1
-    return cover if cover is not None else G.vertices(e).limit(0)
+    the order of their ids. At most ``edges`` edges are finished in one task, by
+    the same rule."""
+    left, cover, hot = materialise(e.select("u", "v")), [], None
+    while left.count() > edges:
+        hot = _hubs(left) if hot is None else hot
+        d = G.degrees(left).select("id", F.struct("deg", F.xxhash64("id", F.lit(len(cover))).alias("h"), "id").alias("rank"))
+        ranked = G.with_ends(left, d, hot)
+        lost = ranked.select(F.when(F.col("rank_u") < F.col("rank_v"), F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
+        top = materialise(G.vertices(left).join(lost, "id", "left_anti"))
+        cover.append(top)
+        after = materialise(G.delete_vertices(left, top))
+        discard(left)
+        left = after
+    start = len(cover)
+    rest = A.in_one_task(left, lambda u, v: ([pa.array(A.greedy(u.to_numpy(), v.to_numpy(), start))], ["id"]), "id bigint")
+    return reduce(DataFrame.unionByName, cover, rest)
 
 
 # --- bounds ------------------------------------------------------------------

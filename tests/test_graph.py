@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from covergrid.operators import arrays as A
 from covergrid.operators import graph as G
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
@@ -216,3 +217,18 @@ def test_queries_over_whole_tables(spark, data):
         parts[r.component] = parts.get(r.component, 0) + 1
     assert sorted(parts.values()) == sorted(map(len, K.split(g)))
     assert q["greedy_rounds_bg"](spark, data).first().n_uncovered == 0
+
+
+def test_rounds_and_one_task_agree(spark):
+    rng = random.Random(8)
+    edges = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(260)) if a != b}
+    edges |= {(300 + i, 301 + i) for i in range(150)} | {(500, 501 + i) for i in range(60)}
+    e = frame(spark, sorted(edges))
+    some = e.selectExpr("u", "v", "xxhash64(u, 3) AS a", "xxhash64(u, v) AS b").toPandas()
+    assert (A.xxhash64(some.u.to_numpy(), 3) == some.a).all() and (A.xxhash64(some.u.to_numpy(), some.v.to_numpy()) == some.b).all()
+    for f in (lambda m: {tuple(r) for r in G.components(e, m).collect()}, lambda m: set(ids(S.greedy_rounds(e, m))), lambda m: {tuple(r) for r in S.matching(e, m).collect()}):
+        assert f(20) == f(10**6)
+    want = {v: min(part) for part in K.split(K.build(edges)) for v in part}
+    assert dict(G.components(e, 20).collect()) == want
+    named = e.selectExpr("concat('n', u) AS u", "concat('n', v) AS v")
+    assert {r.id: r.component for r in G.components(named, 20).collect()} == {f"n{v}": min(f"n{x}" for x in want if want[x] == c) for v, c in want.items()}
