@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--method", default="best", choices=["max", "min", "best", "search"])
     p.add_argument("--nodes", type=int, default=S.NODES)
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--seconds", type=float, help="after these, give the best cover so far")
     p.add_argument("--out", help="folder for the result instead of the screen")
     args = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
@@ -59,11 +60,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 print(r.name)
 
     if args.mode == "exact":
-        s = S.solve_exact(e, nodes=args.nodes, loops=forced)
+        s = S.solve_exact(e, nodes=args.nodes, loops=forced, seconds=args.seconds)
         show(s.cover)
         print(f"#recursive steps: {s.nodes}\n#vc size: {s.size}\n#proven: {s.proven}")
     elif args.mode == "heuristic":
-        c = materialise(S.heuristic(G.delete_vertices(e, forced), args.method, seed=args.seed).unionByName(forced))
+        c = materialise(S.heuristic(G.delete_vertices(e, forced), args.method, seed=args.seed, seconds=args.seconds).unionByName(forced))
         show(c)
         print(f"#vc size: {c.count()}")
     elif args.mode == "kernel":

@@ -168,11 +168,13 @@ def rule_unconfined(g: Graph, log: list) -> int | None:
     return len(took) or None
 
 
-def hopcroft_karp(g: Graph) -> tuple[dict[int, int], dict[int, int]]:
-    """Maximum matching of the bipartite double cover: left to right and back."""
-    left: dict[int, int] = {}
-    right: dict[int, int] = {}
-    for u in sorted(g):  # greedy start
+def hopcroft_karp(g: Graph, before: dict[int, int] | None = None) -> tuple[dict[int, int], dict[int, int]]:
+    """Maximum matching of the bipartite double cover: left to right and back.
+    It starts from what is left of the matching ``before`` of a larger graph, so
+    that after a deletion only the vertices set free are augmented again."""
+    left = {u: w for u, w in before.items() if u in g and w in g[u]} if before else {}
+    right = {w: u for u, w in left.items()}
+    for u in sorted(g.keys() - left.keys()):  # greedy start
         for w in sorted(g[u]):
             if w not in right:
                 left[u], right[w] = w, u
@@ -467,9 +469,14 @@ def reduce(g: Graph, log: list, heavy: bool = True, growing: bool = False, rules
 # --- bounds ------------------------------------------------------------------
 
 
-def lp_bound(g: Graph) -> int:
-    """Half the maximum matching of the double cover, rounded up."""
-    return (len(hopcroft_karp(g)[0]) + 1) // 2
+def lp_bound(g: Graph, before: dict[int, int] | None = None) -> int:
+    """Half the maximum matching of the double cover, rounded up. ``before``, a
+    matching of a larger graph, is brought up to date in place."""
+    left = hopcroft_karp(g, before)[0]
+    if before is not None:
+        before.clear()
+        before.update(left)
+    return (len(left) + 1) // 2
 
 
 def clique_bound(g: Graph, stop: int | None = None) -> int:
@@ -537,9 +544,9 @@ def cycle_bound(g: Graph) -> int:
     return bound
 
 
-def lower_bound(g: Graph, stop: int | None = None) -> int:
+def lower_bound(g: Graph, stop: int | None = None, before: dict[int, int] | None = None) -> int:
     b = clique_bound(g, stop)
-    return b if stop is not None and b > stop else max(b, lp_bound(g))
+    return b if stop is not None and b > stop else max(b, lp_bound(g, before))
 
 
 # --- heuristics --------------------------------------------------------------
@@ -609,11 +616,15 @@ def greedy_min(g: Graph) -> set[int]:
     return cover
 
 
-def best_of(g: Graph, tries: int, seed: int = 0) -> set[int]:
+def best_of(g: Graph, tries: int, seed: int = 0, seconds: float | None = None) -> set[int]:
     """Smallest of the plain, the reduced and ``tries`` randomised greedy
-    covers, every second of which starts from a reduced graph."""
+    covers, every second of which starts from a reduced graph; no new try after
+    ``seconds``."""
+    deadline = None if seconds is None else time.monotonic() + seconds
     best = min((prune(g, c) for c in (greedy_max(g), greedy_max(g, reduced=True), greedy_min(g))), key=len)
     for i in range(tries):
+        if deadline is not None and time.monotonic() > deadline:
+            break
         c = prune(g, greedy_max(g, seed * 100_003 + i, reduced=bool(i % 2)))
         if len(c) < len(best):
             best = c
@@ -715,9 +726,9 @@ def branch_and_bound(g: Graph, best: set[int] | None = None, nodes: int = 200_00
     best = set(best) if best is not None else best_of(g, 3)
     deadline = None if seconds is None else time.monotonic() + seconds
     used, proven = 0, True
-    stack: list[tuple[Graph, list, int, int]] = [(copy(g), [], 0, 0)]  # graph, log, cost, depth
+    stack: list[tuple[Graph, list, int, int, dict]] = [(copy(g), [], 0, 0, {})]  # graph, log, cost, depth, matching
     while stack:
-        h, log, cost, depth = stack.pop()
+        h, log, cost, depth, match = stack.pop()
         if used >= nodes or (deadline is not None and time.monotonic() > deadline):
             proven = False
             break
@@ -728,7 +739,7 @@ def branch_and_bound(g: Graph, best: set[int] | None = None, nodes: int = 200_00
         if not h:
             best = undo(log, set())
             continue
-        if cost + lower_bound(h, len(best) - cost - 1) >= len(best):
+        if cost + lower_bound(h, len(best) - cost - 1, match) >= len(best):
             continue
         parts = split(h)
         if len(parts) > 1:
@@ -748,8 +759,8 @@ def branch_and_bound(g: Graph, best: set[int] | None = None, nodes: int = 200_00
         for x in near:
             drop(without, x)
         drop(with_, v)
-        stack.append((without, [*log, ("take", near)], cost + len(near), depth + 1))
-        stack.append((with_, [*log, ("take", [v])], cost + 1, depth + 1))
+        stack.append((without, [*log, ("take", near)], cost + len(near), depth + 1, dict(match)))
+        stack.append((with_, [*log, ("take", [v])], cost + 1, depth + 1, match))
     return best, proven, used
 
 

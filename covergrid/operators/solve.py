@@ -9,6 +9,9 @@ their double cover, found by layered joins.
 
 from __future__ import annotations
 
+import pickle
+import time
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covergrid.operators import arrays as A
+from covergrid.operators import bits as B
 from covergrid.operators import graph as G
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
@@ -25,7 +29,10 @@ from covergrid.session import discard, materialise
 KERNEL_EDGES = 500_000
 #: Edges below which rounds over DataFrames cost more than the kernels' own rules.
 ENOUGH = 100_000
-NODES = 300
+#: Search nodes of a part, and of each open subproblem, in the first round.
+NODES = 1000
+#: Vertices of a part that is searched as a matrix: at most 50 MB of bits.
+CORE = 20_000
 
 
 def _with_component(e: DataFrame) -> DataFrame:
@@ -187,12 +194,13 @@ def matching_double_cover(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> Dat
 # --- covers ------------------------------------------------------------------
 
 
-def heuristic(e: DataFrame, method: str = "best", tries: int = 6, steps: int = 300, seed: int = 0, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def heuristic(e: DataFrame, method: str = "best", tries: int = 6, steps: int = 300, seed: int = 0, kernel_edges: int = KERNEL_EDGES, seconds: float | None = None) -> DataFrame:
     """``id`` of a cover. Methods: ``max``, ``min`` (greedy by degree), ``best``
     (of ``tries`` randomised restarts) and ``search`` (local search from that).
-    Restarts of one component run as tasks of their own."""
+    Restarts of one component run as tasks of their own; after ``seconds`` each
+    gives its best so far."""
     small, large = _parts(e, kernel_edges)
-    one = {"max": lambda g, s: K.greedy_max(g), "min": lambda g, s: K.greedy_min(g), "best": lambda g, s: K.best_of(g, 1, s), "search": lambda g, s: K.local_search(g, K.best_of(g, 1, s), steps, s)}[method]
+    one = {"max": lambda g, s: K.greedy_max(g), "min": lambda g, s: K.greedy_min(g), "best": lambda g, s: K.best_of(g, 1, s, seconds), "search": lambda g, s: K.local_search(g, K.best_of(g, 1, s, seconds), steps, s, seconds)}[method]
     runs = small.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + (tries if method in ("best", "search") else 1) - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,56 +223,100 @@ class Solution:
         self.size = cover.count()
 
 
-def solve_exact(e: DataFrame, nodes: int = NODES, width: int = 16, kernel_edges: int = KERNEL_EDGES, loops: DataFrame | None = None, enough: int = ENOUGH) -> Solution:
+FOUND = "component bigint, part int, size int, cover array<bigint>, open array<binary>, proven boolean, nodes bigint, log binary"
+
+
+def _first(nodes: int, seconds: float | None, core: int):
+    """Reduces a component and searches each part of its core: a row per part,
+    and one (part -1) with the undo log."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        deadline = None if seconds is None else time.monotonic() + seconds
+        component, g, log = pdf["component"].iloc[0], _graph(pdf), []
+        K.reduce(g, log)
+        rows = [(component, -1, 0, [], [], True, 0, pickle.dumps(log))]
+        for k, part in enumerate(K.split(g)):
+            known = K.local_search(part, K.best_of(part, 3, seconds=seconds), min(2000, 2_000_000 // len(part)), seconds=seconds)
+            if len(part) > core:
+                c, ok, n = K.branch_and_bound(part, known, nodes, None if deadline is None else max(0.0, deadline - time.monotonic()))
+                rows.append((component, k, len(c), sorted(c), [], ok, n, None))
+                continue
+            names, matrix = B.encode(part)
+            c, _, left, n = B.search([B.start(matrix)], len(known), nodes, deadline)
+            best = sorted(known if c is None else [names[i] for i in c])
+            rows.append((component, k, len(best), best, [pickle.dumps((names, s)) for s in left], True, n, None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")])
+
+    return run
+
+
+def _more(nodes: int, seconds: float | None):
+    """Searches open subproblems on; better covers found in a task serve the
+    next subproblem of the same part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        deadline = None if seconds is None else time.monotonic() + seconds
+        limits: dict[tuple[int, int], int] = {}
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                names, state = pickle.loads(r.state)
+                at = (r.component, r.part)
+                c, size, left, n = B.search([state], min(r.size, limits.get(at, r.size)), nodes, deadline)
+                limits[at] = size
+                cover = None if c is None else sorted(names[i] for i in c)
+                rows.append((r.component, r.part, size if c else r.size, cover, [pickle.dumps((names, s)) for s in left], True, n, None))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")])
+
+    return run
+
+
+def solve_exact(e: DataFrame, nodes: int = NODES, kernel_edges: int = KERNEL_EDGES, loops: DataFrame | None = None, enough: int = ENOUGH, seconds: float | None = None, core: int = CORE) -> Solution:
     """Minimum cover: reduce (down to ``enough`` edges at least), split into
-    components, branch and bound each; a
-    component that isn't proven within its nodes is split into a frontier of
-    subproblems that are searched in parallel, best known cover in hand.
-    ``loops`` are vertices that any cover must hold."""
+    components, reduce and search each. What a search leaves open after
+    ``nodes`` nodes is a set of subproblems; all of them are searched on in
+    parallel, with the best covers known and twice the nodes a round, until none
+    is open. After ``seconds`` the best covers so far are the result (not
+    ``proven``). ``loops`` are vertices that any cover must hold. Components of
+    more than ``kernel_edges`` edges, and parts of more than ``core`` vertices
+    that aren't solved within their nodes, are covered but not proven."""
+    began = time.monotonic()
+    rest = lambda: None if seconds is None else max(0.0, seconds - (time.monotonic() - began))
     if loops is not None:
         e = G.delete_vertices(e, loops)
     kernel = R.kernelize(e, enough=min(enough, kernel_edges))
     small, large = _parts(kernel.edges, kernel_edges)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, ok, n = K.branch_and_bound(_graph(pdf), nodes=nodes)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "cover": [sorted(c)], "proven": [ok], "nodes": [n]})
-
-    found = materialise(small.groupBy("component").applyInPandas(first, "component bigint, cover array<bigint>, proven boolean, nodes bigint"))
-    hard = found.where("NOT proven").select("component", F.col("cover").alias("known"))
-    if not hard.isEmpty():
-        edges = small.join(hard.select("component"), "component", "left_semi")
-
-        def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = K.frontier(_graph(pdf), width)
-            return pd.DataFrame({"component": pdf["component"].iloc[0], "sub": range(len(parts)), "taken": [t for t, _ in parts], "us": [[a for a, _ in x] for _, x in parts], "vs": [[b for _, b in x] for _, x in parts]})
-
-        subs = edges.groupBy("component").applyInPandas(expand, "component bigint, sub int, taken array<bigint>, us array<bigint>, vs array<bigint>")
-        subs = subs.join(hard.select("component", F.size("known").alias("size")), "component").repartition("component", "sub")
-
-        def finish(batches):
-            for pdf in batches:
-                rows = []
-                for r in pdf.itertuples():
-                    g = K.build(zip(list(r.us), list(r.vs)))
-                    room = int(r.size) - len(r.taken)
-                    if K.clique_bound(g, room) >= room:
-                        rows.append((r.component, None, True, 1))
-                        continue
-                    c, ok, n = K.branch_and_bound(g, nodes=nodes)
-                    rows.append((r.component, sorted(c | set(r.taken)), ok, n))
-                yield pd.DataFrame(rows, columns=["component", "cover", "proven", "nodes"])
-
-        done = materialise(subs.mapInPandas(finish, "component bigint, cover array<bigint>, proven boolean, nodes bigint"))
-        old = found.where("NOT proven").select("component", "cover", F.lit(True).alias("proven"), "nodes")
-        merged = done.unionByName(old).groupBy("component").agg(F.min_by("cover", F.struct(F.when(F.col("cover").isNull(), 1 << 30).otherwise(F.size("cover")), F.col("cover"))).alias("cover"), F.min("proven").alias("proven"), F.sum("nodes").alias("nodes"))
-        found = materialise(found.where("proven").unionByName(merged))
-    total = found.agg(F.coalesce(F.min("proven"), F.lit(True)).alias("p"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()
-    cover = found.select(F.explode("cover").alias("id"))
-    proven = total.p
+    first = materialise(small.groupBy("component").applyInPandas(_first(nodes, rest(), core), FOUND))
+    best = first.where("part >= 0").select("component", "part", "size", "cover")
+    states = lambda df: df.select("component", "part", F.explode("open").alias("state"))
+    used, proven, found, rounds = [first], True, first, 0
+    while True:
+        left = states(found)
+        waiting = left.count()
+        if not waiting:
+            break
+        if seconds is not None and not rest():
+            proven = False
+            break
+        rounds += 1
+        tasks = min(waiting, 4 * e.sparkSession.sparkContext.defaultParallelism)
+        asked = left.join(best.select("component", "part", "size"), ["component", "part"]).repartition(tasks)
+        found = materialise(asked.mapInPandas(_more(nodes << rounds, rest()), FOUND))
+        used.append(found)
+        better = best.unionByName(found.where("cover IS NOT NULL").select("component", "part", "size", "cover"))
+        best = materialise(better.groupBy("component", "part").agg(F.min_by(F.struct("size", "cover"), F.struct("size", "cover")).alias("b")).select("component", "part", "b.size", "b.cover"))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        log = next(pickle.loads(x) for x in pdf["log"] if x is not None)
+        return pd.DataFrame({"id": sorted(K.undo(log, {v for c in pdf["cover"] for v in c}))}, dtype="int64")
+
+    logs = first.where("part < 0").select("component", "cover", "log")
+    cover = best.select("component", "cover", F.lit(None).cast("binary").alias("log")).unionByName(logs).groupBy("component").applyInPandas(whole, "id bigint")
+    steps = reduce(DataFrame.unionByName, [f.select("nodes", "proven") for f in used]).agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n"), F.coalesce(F.min("proven"), F.lit(True)).alias("p")).first()
+    proven = proven and steps.p
     if not large.isEmpty():
         cover, proven = cover.unionByName(greedy_rounds(large)), False
     cover = kernel.undo(cover)
     if loops is not None:
         cover = cover.unionByName(loops.select("id")).distinct()
-    return Solution(materialise(cover), bool(proven), int(total.n))
+    return Solution(materialise(cover), bool(proven), int(steps.n))

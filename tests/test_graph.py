@@ -142,8 +142,12 @@ def test_frontier_and_large_components(spark):
     rng = random.Random(1)
     edges = sorted({(i, j) for i in range(60) for j in range(i) if rng.random() < 0.12})
     e, want = frame(spark, edges), len(K.branch_and_bound(K.build(edges))[0])
-    hard = S.solve_exact(e, nodes=1, width=8)  # falls to the frontier
-    assert G.uncovered(e, hard.cover).count() == 0 and hard.size >= want and not hard.proven
+    hard = S.solve_exact(e, nodes=1)  # goes on in open subproblems
+    assert G.uncovered(e, hard.cover).count() == 0 and hard.size == want and hard.proven
+    late = S.solve_exact(e, nodes=1, seconds=0)  # gives the best so far
+    assert G.uncovered(e, late.cover).count() == 0 and late.size >= want and not late.proven
+    wide = S.solve_exact(e, nodes=1, core=1)
+    assert G.uncovered(e, wide.cover).count() == 0 and not wide.proven
     assert S.solve_exact(e, nodes=2000).size == want
     far = S.solve_exact(e, kernel_edges=10)  # never meets a kernel
     assert G.uncovered(e, far.cover).count() == 0 and not far.proven

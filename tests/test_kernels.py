@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from covergrid.operators import bits as B
 from covergrid.operators import kernels as K
 
 RULES = {**K.RULES, "R2 triangles": lambda g, log: K.rule_degree_two(g, log, False)}
@@ -127,3 +128,26 @@ def test_named_rules():
     h, log = K.copy(g), []
     assert K.reduce(h, log, rules=["R1"]) == 0 and h == g
     assert K.reduce(h, log, rules=["R1", "R2"]) == 3 and not h and len(K.undo(log, set())) == 3
+
+
+def test_matrix_search_and_its_open_subproblems():
+    rng = random.Random(12)
+    for g in graphs(60, 31, (4, 12)):
+        ids, rows = B.encode(g)
+        stack, limit, best = [B.start(rows)], len(ids) + 1, None
+        while stack:  # a node at a time, from what the last call left open
+            c, limit, stack, _ = B.search(stack, limit, 1)
+            best = c if c is not None else best
+        assert len(best) == limit == optimum(g) and K.is_cover(g, {ids[v] for v in best})
+    for _ in range(20):
+        g = K.build((rng.randrange(45), rng.randrange(45)) for _ in range(rng.randrange(50, 170)))
+        ids, rows = B.encode(g)
+        assert B.search([B.start(rows)], len(ids) + 1, 10**6)[1] == len(K.branch_and_bound(g)[0])
+
+
+def test_matching_goes_on_after_deletions():
+    for g in graphs(20, 5, (6, 12)):
+        before = dict(K.hopcroft_karp(g)[0])
+        K.drop(g, min(g))
+        left, right = K.hopcroft_karp(g, before)
+        assert len(left) == len(K.hopcroft_karp(g)[0]) == len(right) and all(w in g[u] for u, w in left.items())
