@@ -202,6 +202,13 @@ def hubs(d: DataFrame) -> list[tuple]:
     return [(r.id,) for r in d.where(F.col("deg") >= least).select("id").collect()]
 
 
+def hubs_of(e: DataFrame) -> list[tuple]:
+    d = materialise(degrees(e))
+    hot = hubs(d)
+    discard(d)
+    return hot
+
+
 def with_ends(e: DataFrame, of: DataFrame, hot: list[tuple]) -> DataFrame:
     """Edges with the columns of ``of(id, ...)`` for each end, named ``..._u``
     and ``..._v``; hubs are salted."""

@@ -218,11 +218,9 @@ def hopcroft_karp(g: Graph, before: dict[int, int] | None = None) -> tuple[dict[
                         via.pop()
 
 
-def rule_lp(g: Graph, log: list) -> int | None:
-    """Half-integral optimum by a minimum cover of the double cover: vertices
-    of value one are taken, of value zero left out."""
-    if not g:
-        return None
+def half_integral(g: Graph) -> tuple[set[int], set[int]]:
+    """Vertices of value one and of value zero in a smallest cover in halves,
+    from a minimum cover of the double cover."""
     left, right = hopcroft_karp(g)
     reach_l, reach_r = {u for u in g if u not in left}, set()
     queue = deque(reach_l)
@@ -235,7 +233,12 @@ def rule_lp(g: Graph, log: list) -> int | None:
                 if x is not None and x not in reach_l:
                     reach_l.add(x)
                     queue.append(x)
-    one = sorted(v for v in g if v not in reach_l and v in reach_r)
+    return reach_r - reach_l, reach_l - reach_r
+
+
+def rule_lp(g: Graph, log: list) -> int | None:
+    """Vertices of value one are taken, of value zero left out."""
+    one = sorted(half_integral(g)[0])
     if not one:
         return None
     for v in one:

@@ -10,11 +10,14 @@ neighbours' neighbours claim the ball of radius two.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covergrid.operators import graph as G
-from covergrid.operators.salting import heavy_keys, skew_join
+from covergrid.operators.halfint import half_integral
+from covergrid.operators.salting import skew_join
 from covergrid.session import discard, materialise
 
 #: Undo log of one round: what was taken, or what decides between two takings.
@@ -139,18 +142,32 @@ def deg3_cases(e: DataFrame) -> DataFrame:
 
 
 def deg4_patterns(e: DataFrame) -> DataFrame:
-    """``v, n_inner, max_inner``: edges among the four neighbours, and most of
-    them at one neighbour."""
+    """``v, near, inner, n_inner, max_inner, min_inner, per``: edges among the
+    four neighbours, and how many of them each neighbour (``per``) has."""
     x = ego_edges(e, 4)
     per = F.transform("near", lambda y: F.size(F.filter("inner", lambda p: (p["u"] == y) | (p["v"] == y))))
-    return x.select("v", "near", F.size("inner").alias("n_inner"), F.array_max(per).alias("max_inner"), F.array_min(per).alias("min_inner"), per.alias("per"))
+    return x.select("v", "near", "inner", F.size("inner").alias("n_inner"), F.array_max(per).alias("max_inner"), F.array_min(per).alias("min_inner"), per.alias("per"))
 
 
-def deg4_clique_cases(e: DataFrame) -> DataFrame:
-    """``v, kind``: ``triangle`` and a single, or ``cycle`` of four."""
+def deg4_cliques(e: DataFrame) -> DataFrame:
+    """``v, kind, first, second``: neighbours that are two cliques. ``triangle``:
+    three and a single; ``cycle``: of a 4-cycle a, b and then c, d, where a isn't
+    next to c and b isn't next to d."""
     x = deg4_patterns(e)
     kind = F.when((F.col("n_inner") == 3) & (F.col("min_inner") == 0) & (F.col("max_inner") == 2), "triangle").when((F.col("n_inner") == 4) & (F.col("max_inner") == 2), "cycle")
-    return x.select("v", kind.alias("kind")).where("kind IS NOT NULL")
+    x = x.withColumn("kind", kind).where("kind IS NOT NULL")
+    single = F.get("near", F.array_position("per", F.lit(0)).cast("int") - 1)
+    a = F.get("near", 0)
+    beside = F.array_sort(F.transform(F.filter("inner", lambda p: (p["u"] == a) | (p["v"] == a)), lambda p: F.when(p["u"] == a, p["v"]).otherwise(p["u"])))
+    b, d = F.get(beside, F.lit(0)), F.get(beside, F.lit(1))
+    c = F.get(F.array_except("near", F.array(a, b, d)), F.lit(0))
+    three = F.col("kind") == "triangle"
+    return x.select("v", "kind", F.when(three, F.array_except("near", F.array(single))).otherwise(F.array(a, b)).alias("first"), F.when(three, F.array(single)).otherwise(F.array(c, d)).alias("second"))
+
+
+def deg4_clique_cases(e: DataFrame) -> DataFrame:
+    """``v, kind``: ``triangle`` and a single, or ``cycle`` of four."""
+    return deg4_cliques(e).select("v", "kind")
 
 
 def r12_dominators(e: DataFrame) -> DataFrame:
@@ -172,19 +189,18 @@ def added_edges(e: DataFrame, cases: DataFrame) -> DataFrame:
     return out.select("c", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None) -> DataFrame:
+def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None, steps: int = 4) -> DataFrame:
     """Cases whose balls of radius two don't meet: those that are the first (as
-    in ``select_free``) of all cases within four steps.
+    in ``select_free``) of all cases within four (or so many) steps.
 
     The first case travels along edges, one row per vertex, so a ball is never
     listed, whatever hubs it holds; rows of hubs are salted.
     """
-    s = materialise(G.symmetric(e))
-    heavy = [tuple(r) for r in heavy_keys(s, ["v"]).collect()]
+    s, heavy = materialise(G.symmetric(e)), G.hubs_of(e)
     h = F.lit(0).cast("bigint") if seed is None else F.xxhash64("v", F.lit(seed))
     own = materialise(cases.select(F.col("v").alias("id"), F.struct(h.alias("h"), F.col("v").alias("c")).alias("first")))
     near = own
-    for _ in range(4):
+    for _ in range(steps):
         seen = skew_join(s, near.select(F.col("id").alias("v"), "first"), ["v"], F.col("u"), heavy=heavy)
         after = materialise(seen.select(F.col("u").alias("id"), "first").unionByName(near).groupBy("id").agg(F.min("first").alias("first")))
         discard(near)
@@ -192,6 +208,45 @@ def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None) -> Data
     return cases.join(near.where(F.col("first.c") == F.col("id")).select(F.col("id").alias("v")), "v", "left_semi")
 
 
+def unconfined(e: DataFrame) -> DataFrame:
+    """``id, steps``: unconfined vertices, each by itself in the whole graph, and
+    the size of the set S that showed it.
+
+    S starts as the vertex. Of the vertices next to S that see one vertex of it,
+    one with the fewest neighbours outside S and its neighbours counts: with none
+    the vertex is unconfined, with one that neighbour joins S, else it isn't.
+    The first step counts common neighbours of edges; later steps list the
+    surroundings of the vertices that are still open only.
+    """
+    s = materialise(G.symmetric(e))
+    d, common = materialise(G.degrees(e)), materialise(G.common_neighbours(e))
+    hot = G.hubs(d)
+    known = G.with_ends(e, d, hot).join(common, ["u", "v"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    way = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"), (F.col(f"deg_{u}") - 1 - F.col("common")).alias("rest"))
+    rest = known.select(F.inline(F.array(way("u", "v"), way("v", "u")))).where("rest < 2")
+    low = materialise(rest.groupBy("v").agg(F.min(F.struct("rest", "u")).alias("m")).select("v", "m.rest", "m.u"))
+    out = [low.where("rest = 0").select(F.col("v").alias("id"), F.lit(1).alias("steps"))]
+    # (v, x) of each S so far, and the one that joins
+    grown = skew_join(s.select(F.col("u").alias("x"), F.col("v").alias("w")), low.where("rest = 1").select("v", F.col("u").alias("x")), ["x"], F.col("w"), heavy=hot)
+    w = grown.where("w <> v").join(s.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_anti").select("v", F.col("w").alias("x"))
+    inside = materialise(w.unionByName(low.where("rest = 1").select("v", F.col("v").alias("x"))))
+    steps = 2
+    while not inside.isEmpty():
+        near = materialise(skew_join(s.select(F.col("u").alias("x"), F.col("v").alias("y")), inside, ["x"], F.col("y"), heavy=hot).groupBy("v", "y").agg(F.count(F.lit(1)).alias("n")))
+        closed = near.select("v", "y").unionByName(inside.select("v", F.col("x").alias("y"))).distinct()
+        border = near.where("n = 1").select("v", F.col("y").alias("x")).join(inside, ["v", "x"], "left_anti")
+        far = skew_join(s.select(F.col("u").alias("x"), F.col("v").alias("y")), border, ["x"], F.col("y"), heavy=hot).select("v", "x", "y").join(closed, ["v", "y"], "left_anti")
+        counts = far.groupBy("v", "x").agg(F.count(F.lit(1)).alias("rest"), F.min("y").alias("y"))
+        low = border.join(counts, ["v", "x"], "left").groupBy("v").agg(F.min(F.struct(F.coalesce("rest", F.lit(0)).alias("rest"), "x", "y")).alias("m"))
+        low = materialise(low.select("v", "m.rest", "m.y").where("rest < 2"))
+        out.append(low.where("rest = 0").select(F.col("v").alias("id"), F.lit(steps).alias("steps")))
+        one = low.where("rest = 1").select("v", F.col("y").alias("x"))
+        after = materialise(inside.join(one.select("v"), "v", "left_semi").unionByName(one))
+        discard(inside, near)
+        inside, steps = after, steps + 1
+    return reduce(DataFrame.unionByName, out)
+
+
 # --- rounds with a log -------------------------------------------------------
 
 
@@ -225,9 +280,9 @@ def apply_r2(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFram
     return out, log
 
 
-def apply_deg3(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_deg3(e: DataFrame, seed: int | None = None, kinds: tuple[str, ...] = ("independent", "edge")) -> tuple[DataFrame, DataFrame]:
     """Independent neighbours and edge-and-single, on cases far apart."""
-    sel = materialise(select_ball(e, deg3_cases(e).where("kind IN ('independent', 'edge')"), seed))
+    sel = materialise(select_ball(e, deg3_cases(e).where(F.col("kind").isin(*kinds)), seed))
     gone = sel.select(F.explode(F.when(F.col("kind") == "edge", F.array("v", "c")).otherwise(F.array("v"))).alias("id"))
     more = added_edges(e, sel).select("u", "v")
     out = G.add_edges(G.delete_vertices(e, gone), G.delete_vertices(more, gone))
@@ -237,9 +292,84 @@ def apply_deg3(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFr
     return out, log
 
 
+def apply_r2a(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Degree two, triangles only: both neighbours are taken."""
+    c = deg2(e).where("triangle")
+    sel = materialise(select_free(c, c.select("v", F.explode(F.array("v", "a", "b")).alias("x")), seed))
+    return take(e, sel.select(F.explode(F.array("a", "b")).alias("id")))
+
+
+def apply_r3_budget(e: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """All vertices of degree above the budget ``k``, which falls by each taken,
+    again and again; also the budget left (negative: no cover of size ``k``)."""
+    e, log = materialise(e), None
+    while k >= 0:
+        took = materialise(r3_high_degree(e, k))
+        n = took.count()
+        if not n:
+            break
+        after, own = take(e, took)
+        after = materialise(after)
+        discard(e)
+        e, k, log = after, k - n, own if log is None else log.unionByName(own)
+    return e, log if log is not None else e.sparkSession.createDataFrame([], LOG).drop("round"), k
+
+
+def apply_r6(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unconfined vertices so far apart that none was looked at when another
+    was tested: a test with a set of s vertices sees no further than 2s steps."""
+    found = materialise(unconfined(e))
+    most = found.agg(F.max("steps")).first()[0]
+    if most is None:
+        return take(e, found.select("id"))
+    sel = select_ball(e, found.select(F.col("id").alias("v")), seed, 2 * most)
+    return take(e, materialise(sel.select(F.col("v").alias("id"))))
+
+
+def apply_r7(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices of value one in a smallest cover in halves, all at once."""
+    return take(e, materialise(half_integral(e).where("twice = 2").select("id")))
+
+
+def _dominating(e: DataFrame, pairs: DataFrame, degree: int) -> DataFrame:
+    """``id`` of vertices ``u`` of ``pairs(v, u)`` that dominate a ``v`` of the
+    given degree; of twins (which have that degree too) the smaller id stays."""
+    p = pairs.join(G.degrees(e).withColumnRenamed("id", "u"), "u")
+    return p.where((F.col("deg") > degree) | (F.col("u") > F.col("v"))).select(F.col("u").alias("id")).distinct()
+
+
+def r10_dominators(e: DataFrame) -> DataFrame:
+    """``v, u``: neighbours of a vertex of degree three next to the other two."""
+    c = deg3_cases(e).where("kind IN ('path', 'triangle')")
+    return c.select("v", F.explode(F.when(F.col("kind") == "path", F.array("c")).otherwise(F.array("a", "b", "c"))).alias("u"))
+
+
+def apply_r10(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return take(e, materialise(_dominating(e, r10_dominators(e), 3)))
+
+
+def apply_r12(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return take(e, materialise(_dominating(e, r12_dominators(e), 4)))
+
+
+def apply_r11(e: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two cliques around a vertex of degree four, on cases far apart: the second
+    goes, and each vertex of the first takes over the neighbours of those of the
+    second that it isn't next to."""
+    sel = materialise(select_ball(e, deg4_cliques(e), seed))
+    gone = sel.select(F.explode(F.concat(F.array("v"), "second")).alias("id"))
+    same = F.transform("first", lambda x: F.struct(x.alias("x"), F.get("second", F.lit(0)).alias("o")))
+    pairs = sel.select("v", F.inline(F.when(F.col("kind") == "triangle", same).otherwise(F.arrays_zip(F.col("first").alias("x"), F.col("second").alias("o")))))
+    s = G.symmetric(e).select(F.col("u").alias("o"), F.col("v").alias("y"))
+    more = pairs.join(s, "o").where("y <> v AND y <> x").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    out = G.add_edges(G.delete_vertices(e, gone), G.delete_vertices(more, gone))
+    log = sel.select(F.when(F.col("kind") == "triangle", "clique3").otherwise("clique4").alias("kind"), F.col("v").cast("bigint").alias("v"), F.col("first").cast("array<bigint>").alias("watch"), F.col("second").cast("array<bigint>").alias("other"))
+    return out, log
+
+
 def decrease(log: DataFrame) -> DataFrame:
     """``dec``: how much the optimum fell over a log."""
-    d = F.when(F.col("kind") == "take", F.size("other")).when(F.col("kind").isin("fold", "pair"), 1).otherwise(0)
+    d = F.when(F.col("kind").isin("take", "clique3", "clique4"), F.size("other")).when(F.col("kind").isin("fold", "pair"), 1).otherwise(0)
     return log.agg(F.coalesce(F.sum(d), F.lit(0)).cast("bigint").alias("dec"))
 
 
@@ -257,6 +387,8 @@ def undo_round(log: DataFrame, cover: DataFrame) -> DataFrame:
         .when(F.col("kind") == "fold", F.when(n == 1, F.col("other")).otherwise(F.array("v")))
         .when(F.col("kind") == "pair", F.when(n == 2, F.col("other")).otherwise(F.array("v")))
         .when((F.col("kind") == "three") & (n < 3), F.array("v"))
+        .when(F.col("kind") == "clique3", F.when(n == 3, F.col("other")).otherwise(F.array("v")))
+        .when(F.col("kind") == "clique4", F.when(n == 2, F.col("other")).when(has(a), F.array(F.col("v"), F.get("other", 0))).otherwise(F.array(F.col("v"), F.get("other", 1))))
         .otherwise(none)
     )
     minus = (
@@ -271,10 +403,12 @@ def undo_round(log: DataFrame, cover: DataFrame) -> DataFrame:
 
 
 class Kernel:
-    """A reduced graph ``edges`` and the log of the rounds that led to it."""
+    """A reduced graph ``edges`` and the log of the rounds that led to it; with a
+    budget, what is left of it (``k``) and whether it may still do
+    (``feasible``)."""
 
-    def __init__(self, edges: DataFrame, rounds: list[DataFrame]):
-        self.edges, self.rounds = edges, rounds
+    def __init__(self, edges: DataFrame, rounds: list[DataFrame], names: list[str], k: int | None = None, feasible: bool = True):
+        self.edges, self.rounds, self.names, self.k, self.feasible = edges, rounds, names, k, feasible
 
     def log(self) -> DataFrame:
         empty = self.edges.sparkSession.createDataFrame([], LOG)
@@ -282,6 +416,14 @@ class Kernel:
             empty = empty.unionByName(r.withColumn("round", F.lit(i)))
         return empty
 
+    def counters(self) -> DataFrame:
+        """``rule, rounds, applied, decrease``: how often each rule that applied
+        did, and how much the optimum fell by it."""
+        spark = self.edges.sparkSession
+        named = spark.createDataFrame(list(enumerate(self.names)), "round int, rule string")
+        each = self.log().withColumn("dec", F.when(F.col("kind").isin("take", "clique3", "clique4"), F.size("other")).when(F.col("kind").isin("fold", "pair"), 1).otherwise(0))
+        return each.join(F.broadcast(named), "round").groupBy("rule").agg(F.countDistinct("round").alias("rounds"), F.count(F.lit(1)).alias("applied"), F.sum("dec").alias("decrease"))
+
     def decided(self) -> DataFrame:
         """``id`` of cover vertices that the log alone decides (``take``)."""
         return self.log().where("kind = 'take'").select(F.explode("other").alias("id"))
@@ -293,31 +435,59 @@ class Kernel:
         return out
 
 
-RULES = {"R1": apply_r1, "R2": apply_r2, "R5": apply_r5, "R8_R9": apply_deg3}
+RULES = {
+    "R1": apply_r1, "R2": apply_r2, "R2a": apply_r2a, "R5": apply_r5, "R6": apply_r6, "R7": apply_r7, "R8_R9": apply_deg3,
+    "R8": lambda e, seed=None: apply_deg3(e, seed, ("independent",)), "R9": lambda e, seed=None: apply_deg3(e, seed, ("edge",)),
+    "R10": apply_r10, "R11": apply_r11, "R12": apply_r12,
+}
+#: Rules that need a budget.
+BUDGET = ("R3", "R4")
+#: What is applied before a pseudo-Boolean solver: no rule that folds.
+BEFORE_SOLVER = ("R1", "R2a", "R5", "R6", "R7")
 
 
-def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), enough: int = 0) -> Kernel:
+def dynamic(depth: int) -> tuple[str, ...]:
+    """Rules at a depth of a search with a budget: the dear ones now and then."""
+    return ("R1", "R2", "R3", "R4") + (("R6", "R7") if depth % 10 == 0 else ())
+
+
+def kernelize(e: DataFrame, order: tuple[str, ...] = ("R1", "R2", "R5"), enough: int = 0, k: int | None = None) -> Kernel:
     """Rules to a fixpoint: each pass applies the rules in turn, until none of
-    them applies. R5 takes what R10 and R12 would take (both are dominations).
-    Every rule that applies removes a vertex, so this ends; folds are chosen by
-    hash, and R1 takes turns with R2, so paths and trees shrink by a share of
-    themselves in a pass. Only at ``enough`` edges it stops early."""
-    e, rounds, idle = materialise(e), [], 0
+    them applies. Every rule that applies removes a vertex, so this ends; folds
+    are chosen by hash, and R1 takes turns with R2, so paths and trees shrink by
+    a share of themselves in a pass. Only at ``enough`` edges it stops early.
+
+    With a budget ``k`` the rules R3 and R4 may be named too; the kernel says
+    what is left of it, and isn't ``feasible`` once no cover of size ``k`` can
+    exist.
+    """
+    if k is None and set(order) & set(BUDGET):
+        raise ValueError("R3 and R4 need a budget")
+    e, rounds, names, idle, feasible = materialise(e), [], [], 0, True
     left = e.count()
-    while left > enough and idle < len(order):
+    while feasible and left > enough and idle < len(order):
         for rule in order:
-            out, log = RULES[rule](e, len(rounds))
-            log = materialise(log)
-            if log.isEmpty():
+            if rule == "R4":
+                log, feasible = None, not r4_buss(e, k).first().excluded
+            elif rule == "R3":
+                out, log, budget = apply_r3_budget(e, k)
+            else:
+                out, log = RULES[rule](e, len(rounds))
+            log = None if log is None else materialise(log)
+            if log is None or log.isEmpty():
                 idle += 1
                 discard(log)
             else:
                 idle = 0
                 rounds.append(log)
+                names.append(rule)
                 after = materialise(out)
                 discard(e)
                 e = after
                 left = e.count()
-            if left <= enough or idle == len(order):
+                if k is not None:
+                    k = budget if rule == "R3" else k - decrease(log).first().dec
+                    feasible = k >= 0
+            if not feasible or left <= enough or idle == len(order):
                 break
-    return Kernel(e, rounds)
+    return Kernel(e, rounds, names, k, feasible and (k is None or k > 0 or not left))

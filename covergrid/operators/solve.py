@@ -24,9 +24,9 @@ from covergrid.operators import bits as B
 from covergrid.operators import graph as G
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
+from covergrid.operators.halfint import KERNEL_EDGES, matching, maximum_double_matching, split_by_size  # noqa: F401
 from covergrid.session import discard, materialise
 
-KERNEL_EDGES = 500_000
 #: Edges below which rounds over DataFrames cost more than the kernels' own rules.
 ENOUGH = 100_000
 #: Search nodes of a part, and of each open subproblem, in the first round.
@@ -35,20 +35,9 @@ NODES = 1000
 CORE = 20_000
 
 
-def _with_component(e: DataFrame) -> DataFrame:
-    return materialise(e.join(G.components(e).withColumnRenamed("id", "u"), "u"))
-
-
-def _split(e: DataFrame, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
-    """``u, v, component``: of small and of large components."""
-    c = _with_component(e)
-    large = c.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > kernel_edges).select("component")
-    return c.join(large, "component", "left_anti"), materialise(c.join(large, "component", "left_semi")).select("u", "v", "component")
-
-
 def _parts(e: DataFrame, kernel_edges: int) -> tuple[DataFrame, DataFrame]:
     """Edges with their component of small components, edges of large ones."""
-    small, large = _split(e, kernel_edges)
+    small, large = split_by_size(e, kernel_edges)
     return small, large.select("u", "v")
 
 
@@ -56,76 +45,6 @@ def _graph(pdf: pd.DataFrame) -> K.Graph:
     return K.build(zip(pdf["u"].tolist(), pdf["v"].tolist()))
 
 
-def _hubs(e: DataFrame) -> list[tuple]:
-    d = materialise(G.degrees(e))
-    hot = G.hubs(d)
-    discard(d)
-    return hot
-
-
-def matching(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
-    """A maximal matching ``u, v`` by rounds: an edge enters if its hash is the
-    least at both ends. Its size is a lower bound, its ends a cover of at most
-    twice the optimum. At most ``edges`` edges are finished in one task, by the
-    same rule."""
-    left, out, hot = materialise(e.select("u", "v")), [], None
-    while left.count() > edges:  # the least hash of all always enters
-        hot = _hubs(left) if hot is None else hot
-        key = left.withColumn("h", F.struct(F.xxhash64("u", "v"), "u", "v"))
-        low = key.select(F.explode(F.array("u", "v")).alias("id"), "h").groupBy("id").agg(F.min("h").alias("low"))
-        won = materialise(G.with_ends(key, low, hot).where("h = low_u AND h = low_v").select("u", "v"))
-        out.append(won)
-        after = materialise(G.delete_vertices(left, G.vertices(won)))
-        discard(left)
-        left = after
-    rest = A.in_one_task(left, lambda u, v: ([x.filter(pa.array(A.matching(u.to_numpy(), v.to_numpy()))) for x in (u, v)], ["u", "v"]), "u bigint, v bigint")
-    return reduce(DataFrame.unionByName, out, rest)
-
-
-def maximum_double_matching(e: DataFrame) -> DataFrame:
-    """``l, r``: a maximum matching of the bipartite double cover, by joins.
-
-    It starts from both directions of a maximal matching. Each phase grows a
-    forest of alternating paths by layers from all free left vertices; a right
-    vertex belongs to the first layer and there to one parent (by hash), so the
-    trees are disjoint, and each tree that meets a free right vertex is
-    augmented once. A phase that finds none has seen all that free vertices
-    reach, so the matching is maximum.
-    """
-    s = materialise(G.symmetric(e).select(F.col("u").alias("l"), F.col("v").alias("r")))
-    mate = materialise(G.symmetric(matching(e)).select(F.col("u").alias("l"), F.col("v").alias("r")))
-    phase = 0
-    while True:
-        layer = s.select("l").distinct().join(mate, "l", "left_anti").select("l", F.col("l").alias("root"))
-        back = mate.select("r", F.col("l").alias("next"))
-        seen = ends = None
-        while True:
-            reach = s.join(layer, "l")
-            if seen is not None:
-                reach = reach.join(seen.select("r"), "r", "left_anti")
-            parent = F.min(F.struct(F.xxhash64("l", "r", F.lit(phase)).alias("h"), "l", "root")).alias("p")
-            new = materialise(reach.groupBy("r").agg(parent).select("r", "p.l", "p.root").join(back, "r", "left"))
-            if new.isEmpty():
-                break
-            seen = new if seen is None else seen.unionByName(new)
-            won = new.where("next IS NULL").groupBy("root").agg(F.min("r").alias("r"))
-            ends = won if ends is None else ends.unionByName(won)
-            # a tree that has met a free vertex grows no further
-            layer = new.where("next IS NOT NULL").join(won.select("root"), "root", "left_anti").select(F.col("next").alias("l"), "root")
-        if ends is None or ends.isEmpty():
-            return mate
-        at = ends.select("r")
-        steps, flipped = seen.select("r", "l"), None
-        while True:
-            step = materialise(at.join(steps, "r").select("l", "r"))
-            if step.isEmpty():
-                break
-            flipped = step if flipped is None else flipped.unionByName(step)
-            at = step.select("l").join(mate, "l").select("r")
-        mate = materialise(mate.join(flipped.select("l"), "l", "left_anti").unionByName(flipped))
-        phase += 1
-
-
 def greedy_rounds(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     """Distributed greedy cover ``id``: each round takes every vertex whose
     (degree, then hash of id and round) is the greatest in its closed
@@ -135,7 +54,7 @@ def greedy_rounds(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     the same rule."""
     left, cover, hot = materialise(e.select("u", "v")), [], None
     while left.count() > edges:
-        hot = _hubs(left) if hot is None else hot
+        hot = G.hubs_of(left) if hot is None else hot
         d = G.degrees(left).select("id", F.struct("deg", F.xxhash64("id", F.lit(len(cover))).alias("h"), "id").alias("rank"))
         ranked = G.with_ends(left, d, hot)
         lost = ranked.select(F.when(F.col("rank_u") < F.col("rank_v"), F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
@@ -164,7 +83,7 @@ def bounds(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """``bound, value``: lower bounds of the whole graph (components add up).
     ``lp`` is the same for components of any size; ``clique`` and ``cycle`` have
     kernels only, and are null if a component is too large for one."""
-    small, large = _split(e, kernel_edges)
+    small, large = split_by_size(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _graph(pdf)
@@ -182,7 +101,7 @@ def matching_double_cover(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> Dat
     """``component, matched``: maximum matching of the double cover per
     component, by Hopcroft and Karp up to ``kernel_edges`` edges and by joins
     above."""
-    small, large = _split(e, kernel_edges)
+    small, large = split_by_size(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"component": [pdf["component"].iloc[0]], "matched": [len(K.hopcroft_karp(_graph(pdf))[0])]})

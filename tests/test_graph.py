@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from covergrid.operators import arrays as A
 from covergrid.operators import graph as G
+from covergrid.operators import halfint as H
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
 from covergrid.operators import solve as S
@@ -92,7 +93,7 @@ def opt_by_part(edges):
     return {k: optimum(K.build(x)) for k, x in by.items()}
 
 
-@pytest.mark.parametrize("rule", ["R1", "R2", "R5", "R8_R9"])
+@pytest.mark.parametrize("rule", list(R.RULES))
 def test_rule_batches_and_undo(spark, rule):
     _, edges = disjoint(25, 11)
     e = frame(spark, edges)
@@ -236,3 +237,48 @@ def test_rounds_and_one_task_agree(spark):
     assert dict(G.components(e, 20).collect()) == want
     named = e.selectExpr("concat('n', u) AS u", "concat('n', v) AS v")
     assert {r.id: r.component for r in G.components(named, 20).collect()} == {f"n{v}": min(f"n{x}" for x in want if want[x] == c) for v, c in want.items()}
+
+
+def test_unconfined_and_half_integral_against_kernels(spark):
+    parts, edges = disjoint(30, 37)
+    e, g = frame(spark, edges), K.build(edges)
+    assert {r.id for r in R.unconfined(e).collect()} == {v for v in g if K.is_unconfined(g, v)}
+    assert any(r.steps > 1 for r in R.unconfined(e).collect())
+    for limit in (5, 10**6):
+        got = {r.id: r.twice for r in H.half_integral(e, limit).collect()}
+        one, zero = K.half_integral(g)
+        assert got == {v: 2 if v in one else 0 if v in zero else 1 for v in g}
+
+
+def test_two_cliques_are_reduced_and_undone(spark):
+    rng = random.Random(6)
+    edges = []
+    for i in range(30):  # degree four, two cliques, and random edges to others
+        b, inner = 100 * i, [(1, 2), (1, 3), (2, 3)] if i % 2 else [(1, 2), (2, 3), (3, 4), (1, 4)]
+        edges += [(b, b + k) for k in range(1, 5)] + [(b + x, b + y) for x, y in inner]
+        edges += [(b + x, b + y) for x in range(1, 5) for y in range(5, 9) if rng.random() < 0.5] + [(b + 5, b + 6)]
+    e = frame(spark, edges)
+    out, log = R.apply_r11(e)
+    assert {r.kind for r in log.collect()} == {"clique3", "clique4"}
+    left = [(r.u, r.v) for r in out.collect()]
+    before, after = opt_by_part(edges), opt_by_part(left)
+    assert R.decrease(log).first().dec + sum(after.values()) == sum(before.values())
+    best = [v for h in K.split(K.build(left)) for v in K.branch_and_bound(h)[0]]
+    back = set(ids(R.undo_round(log, spark.createDataFrame([(v,) for v in best], "id bigint"))))
+    assert K.is_cover(K.build(edges), back) and len(back) == sum(before.values())
+
+
+def test_budgets_and_flags(spark):
+    star = [(0, i) for i in range(1, 9)] + [(10, i) for i in range(11, 16)] + [(20, 21), (21, 22), (20, 22)]
+    e = frame(spark, star)
+    out, log, k = R.apply_r3_budget(e, 5)  # 0 first, then 10 at a budget of four
+    assert k == 3 and sorted(x for r in log.collect() for x in r.other) == [0, 10] and out.count() == 3
+    _, edges = disjoint(12, 41)
+    best = sum(opt_by_part(edges).values())
+    for order in (R.BEFORE_SOLVER, R.dynamic(10), tuple(r for r in R.RULES if r not in ("R2a", "R8_R9")) + R.BUDGET):
+        kernel = R.kernelize(frame(spark, edges), order, k=best)
+        assert kernel.feasible and kernel.k == best - R.decrease(kernel.log()).first().dec
+        counted = kernel.counters().collect()
+        assert {r.rule for r in counted} <= set(order) and sum(r.decrease for r in counted) == best - kernel.k
+        assert kernel.k == sum(opt_by_part([(r.u, r.v) for r in kernel.edges.collect()]).values())
+    assert not R.kernelize(frame(spark, edges), tuple(r for r in R.RULES if r not in ("R2a", "R8_R9")), k=best - 1).feasible
