@@ -10,14 +10,20 @@ same arrays, with the same result.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import heapq
+import shutil
 import sys
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Split of the vocabulary's own pattern, for the JVM, whose \s is ASCII only.
@@ -36,6 +42,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def ship(spark: SparkSession, path: str | None) -> str:
+    """Sends the rank file to the executors; the name they know it by. Files of
+    one name are told apart by their content, so each is sent once."""
+    path = path or default_path()
+    digest = xxhash.xxh3_64_hexdigest(Path(path).read_bytes())
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_covergrid_ranks", {})
+    if digest not in sent:
+        folder = tempfile.mkdtemp(prefix="covergrid-ranks-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.addFile(shutil.copy(path, f"{folder}/ranks-{digest}"))
+        sent[digest] = f"ranks-{digest}"
+    return sent[digest]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -98,11 +119,12 @@ class Vocabulary:
         self.seen: dict[str, list[int]] = {}
 
     @staticmethod
-    def of(path: str) -> "Vocabulary":
+    def of(name: str) -> "Vocabulary":
+        """That of a file sent by ``ship``."""
         kept = sys.modules[__name__].__dict__.setdefault("_VOCABULARIES", {})
-        if path not in kept:
-            kept[path] = Vocabulary(path)
-        return kept[path]
+        if name not in kept:
+            kept[name] = Vocabulary(SparkFiles.get(name))
+        return kept[name]
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, first position, number) of each word."""
@@ -146,9 +168,9 @@ def word_column(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def _encoder(path: str):
+def _encoder(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.of(path)
+        vocabulary = Vocabulary.of(name)
         for b in batches:
             ids, offsets, _, _ = encode_batch(vocabulary, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids))], ["id", "ids"])
@@ -163,4 +185,4 @@ def encode(df: DataFrame, id: str, text: str, path: str | None = None) -> DataFr
     columns are read. Nothing is shuffled."""
     rows = df.select(F.col(f"`{id}`").alias("id"), word_column(F.col(f"`{text}`")).alias("words"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_encoder(path or default_path()), f"id {kind}, ids array<int>").withColumnRenamed("id", id)
+    return rows.mapInArrow(_encoder(ship(df.sparkSession, path)), f"id {kind}, ids array<int>").withColumnRenamed("id", id)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covergrid.llm.bpe import Vocabulary, default_path, encode_batch, ragged, word_column
+from covergrid.llm.bpe import Vocabulary, encode_batch, ragged, ship, word_column
 
 LIMIT, OVERLAP = 1024, 64
 #: Kinds of cuts, weakest first: between tokens, words, lines, paragraphs, hunks, files.
@@ -93,9 +93,9 @@ def all_cuts(succ: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         table = table[table]
 
 
-def _splitter(path: str, limit: int, overlap: int):
+def _splitter(name: str, limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.of(path)
+        vocabulary = Vocabulary.of(name)
         for b in batches:
             ids, offsets, coded, per_word = encode_batch(vocabulary, b.column(1))
             size = np.diff(offsets)
@@ -158,4 +158,4 @@ def split(df: DataFrame, id: str, text: str, limit: int = LIMIT, overlap: int =
     t = F.col(f"`{text}`")
     rows = df.where(F.octet_length(t) > limit).select(F.col(f"`{id}`").alias("id"), word_column(t).alias("words"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_splitter(path or default_path(), limit, overlap), f"id {kind}, piece int, token_from int, token_to int, cut string, ids array<int>").withColumnRenamed("id", id)
+    return rows.mapInArrow(_splitter(ship(df.sparkSession, path), limit, overlap), f"id {kind}, piece int, token_from int, token_to int, cut string, ids array<int>").withColumnRenamed("id", id)
