@@ -111,6 +111,21 @@ def first_edge(e: DataFrame) -> DataFrame:
     return e.orderBy("u", "v").limit(1)
 
 
+def first_connected(e: DataFrame) -> DataFrame:
+    """``id`` of one vertex that has an edge: the smallest."""
+    return e.agg(F.least(F.min("u"), F.min("v")).alias("id")).where("id IS NOT NULL")
+
+
+def finished(e: DataFrame) -> DataFrame:
+    """``finished``: whether no edge is left (one row)."""
+    return e.limit(1).agg((F.count(F.lit(1)) == 0).alias("finished"))
+
+
+def inactive(all_ids: DataFrame, active: DataFrame) -> DataFrame:
+    """``id`` of vertices that aren't active: the cover so far."""
+    return all_ids.select("id").distinct().join(active.select("id"), "id", "left_anti")
+
+
 # --- choices (ties: the smallest id) -----------------------------------------
 
 
@@ -165,6 +180,13 @@ def delete_vertices(e: DataFrame, ids: DataFrame) -> DataFrame:
     return e.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v")
 
 
+def reactivate(original: DataFrame, gone: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after vertices ``ids`` of those deleted from ``original`` have
+    come back, and what is still gone."""
+    still = gone.select("id").join(ids.select("id"), "id", "left_anti")
+    return delete_vertices(original, still), still
+
+
 def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
     return e.join(ids.select(F.col("id").alias("u")), "u", "left_semi").join(ids.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
 
@@ -264,6 +286,15 @@ def components(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     return materialise(skew_join(label, names, ["component"], F.col("id")).select("id", F.col("name").alias("component")))
 
 
+def path_cycle_optimum(e: DataFrame) -> DataFrame:
+    """``component, n_vertices, n_edges, optimum`` of a graph of degree at most
+    two: half the vertices of a path, of a cycle rounded up. Components with a
+    vertex of higher degree are left out."""
+    c = components(e)
+    per = degrees(e).join(c, "id").groupBy("component").agg(F.count(F.lit(1)).alias("n_vertices"), (F.sum("deg") / 2).cast("bigint").alias("n_edges"), F.max("deg").alias("most"))
+    return per.where("most <= 2").select("component", "n_vertices", "n_edges", F.expr("(n_vertices + CASE WHEN n_edges = n_vertices THEN 1 ELSE 0 END) div 2").alias("optimum"))
+
+
 def reached(e: DataFrame, ids: DataFrame) -> DataFrame:
     """``id`` of all vertices in the components of ``ids(id)``."""
     c = components(e)

@@ -866,3 +866,21 @@ def frontier(g: Graph, width: int) -> list[tuple[list[int], list[tuple[int, int]
         drop(h, v)
         out += [([*taken, v], h), ([*taken, *near], without)]
     return [(t, [(u, v) for u, n in h.items() for v in n if u < v]) for t, h in out]
+
+
+#: Searches by name, each of a graph for its minimum cover.
+SEARCHES = {
+    "edges": lambda g: _least(g, lambda k: edge_branching(g, k)),
+    "vertices": lambda g: _least(g, lambda k: vertex_branching(g, k, packing=False)),
+    "packing": lambda g: _least(g, lambda k: vertex_branching(g, k)),
+    "budget": smallest,
+    "bounded": lambda g: branch_and_bound(g)[0],
+}
+
+
+def _least(g: Graph, within) -> set[int]:
+    """By raising the budget from the half-integral bound."""
+    k = lp_bound(g)
+    while (c := within(k)) is None:
+        k += 1
+    return c

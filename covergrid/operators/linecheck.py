@@ -77,7 +77,8 @@ def failures(held: DataFrame, fields: list[str]) -> DataFrame:
 def valid(held: DataFrame, fields: list[str]) -> DataFrame:
     """``k0..., fields...`` of the valid ``records``, without their quotes."""
     kept = [c for c in held.columns if c not in ("text", "whole")]
-    cells = F.split(F.translate("text", '"', ""), " ")
+    # null for other lines: the optimiser may look at later casts before the filter
+    cells = F.split(F.when(F.col("whole"), F.translate("text", '"', "")), " ")
     return held.where("whole").select(*kept, *[F.get(cells, i).alias(f) for i, f in enumerate(fields)])
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from covergrid.operators import arrays as A
 from covergrid.operators import bits as B
 from covergrid.operators import graph as G
+from covergrid.operators import halfint as H
 from covergrid.operators import kernels as K
 from covergrid.operators import rules as R
 from covergrid.operators.halfint import KERNEL_EDGES, matching, maximum_double_matching, split_by_size  # noqa: F401
@@ -133,6 +134,44 @@ def heuristic(e: DataFrame, method: str = "best", tries: int = 6, steps: int = 3
     return out if large.isEmpty() else out.unionByName(greedy_rounds(large))
 
 
+def searches(e: DataFrame, methods: tuple[str, ...], vertices: int) -> DataFrame:
+    """``component, method, size, valid`` of each component of at most so many
+    vertices by each of ``kernels.SEARCHES`` and ``matrix`` (``bits.search``)."""
+    c = G.components(e)
+    few = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= vertices).select("component")
+    small = e.join(c.join(few, "component", "left_semi").withColumnRenamed("id", "u"), "u")
+
+    def matrix(g: K.Graph) -> set[int]:
+        ids, rows = B.encode(g)
+        return {ids[v] for v in B.search([B.start(rows)], len(ids), 1 << 60)[0]}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for component, part in pdf.groupby("component"):
+            g = _graph(part)
+            for m in methods:
+                cover = (K.SEARCHES | {"matrix": matrix})[m](g)
+                out.append((component, m, len(cover), K.is_cover(g, cover)))
+        return pd.DataFrame(out, columns=["component", "method", "size", "valid"])
+
+    return H.in_groups(small).groupBy("task").applyInPandas(run, "component bigint, method string, size bigint, valid boolean")
+
+
+def residual_components(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """``id, part``: strongly connected components of the residual graph of a
+    maximum matching of the double cover, by their least vertex. Components of
+    more than ``kernel_edges`` edges are refused."""
+    small, large = split_by_size(e, kernel_edges)
+    if not large.isEmpty():
+        raise ValueError("a component is too large for one task")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = K.residual_components(_graph(pdf))
+        return pd.DataFrame([(v, min(p)) for p in parts for v in p], columns=["id", "part"])
+
+    return H.in_groups(small).groupBy("task").applyInPandas(run, "id bigint, part bigint")
+
+
 class Solution:
     """``cover`` (ids), ``size``, whether it is ``proven`` smallest, and the
     number of search ``nodes``."""
@@ -141,6 +180,11 @@ class Solution:
         self.cover, self.proven, self.nodes = cover, proven, nodes
         self.size = cover.count()
 
+    def statistics(self) -> DataFrame:
+        """``name, value`` rows: steps of the search, size, and whether proven."""
+        rows = [("recursive steps", self.nodes), ("vc size", self.size), ("proven", int(self.proven))]
+        return self.cover.sparkSession.createDataFrame(rows, "name string, value bigint")
+
 
 FOUND = "component bigint, part int, size int, cover array<bigint>, open array<binary>, proven boolean, nodes bigint, log binary"
 
@@ -195,7 +239,7 @@ def solve_exact(e: DataFrame, nodes: int = NODES, kernel_edges: int = KERNEL_EDG
     components, reduce and search each. What a search leaves open after
     ``nodes`` nodes is a set of subproblems; all of them are searched on in
     parallel, with the best covers known and twice the nodes a round, until none
-    is open. After ``seconds`` the best covers so far are the result (not
+    is open. After ``seconds``, or if interrupted, the best covers so far are the result (not
     ``proven``). ``loops`` are vertices that any cover must hold. Components of
     more than ``kernel_edges`` edges, and parts of more than ``core`` vertices
     that aren't solved within their nodes, are covered but not proven."""
@@ -220,7 +264,12 @@ def solve_exact(e: DataFrame, nodes: int = NODES, kernel_edges: int = KERNEL_EDG
         rounds += 1
         tasks = min(waiting, 4 * e.sparkSession.sparkContext.defaultParallelism)
         asked = left.join(best.select("component", "part", "size"), ["component", "part"]).repartition(tasks)
-        found = materialise(asked.mapInPandas(_more(nodes << rounds, rest()), FOUND))
+        try:
+            found = materialise(asked.mapInPandas(_more(nodes << rounds, rest()), FOUND))
+        except KeyboardInterrupt:  # the best covers of the rounds before are the result
+            e.sparkSession.sparkContext.cancelAllJobs()
+            proven = False
+            break
         used.append(found)
         better = best.unionByName(found.where("cover IS NOT NULL").select("component", "part", "size", "cover"))
         best = materialise(better.groupBy("component", "part").agg(F.min_by(F.struct("size", "cover"), F.struct("size", "cover")).alias("b")).select("component", "part", "b.size", "b.cover"))

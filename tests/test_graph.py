@@ -282,3 +282,25 @@ def test_budgets_and_flags(spark):
         assert {r.rule for r in counted} <= set(order) and sum(r.decrease for r in counted) == best - kernel.k
         assert kernel.k == sum(opt_by_part([(r.u, r.v) for r in kernel.edges.collect()]).values())
     assert not R.kernelize(frame(spark, edges), tuple(r for r in R.RULES if r not in ("R2a", "R8_R9")), k=best - 1).feasible
+
+
+def test_activity_paths_and_searches(spark):
+    e = frame(spark, EDGES)
+    gone = spark.createDataFrame([(3,), (5,)], "id bigint")
+    back, still = G.reactivate(e, gone, spark.createDataFrame([(5,), (7,)], "id bigint"))
+    assert ids(still) == [3] and {tuple(r) for r in back.collect()} == {x for x in map(lambda p: (min(p), max(p)), EDGES) if 3 not in x}
+    assert ids(G.inactive(G.vertices(e), G.vertices(G.delete_vertices(e, gone)))) == [3, 4, 5]
+    assert G.first_connected(e).first().id == 1 and G.first_connected(e.limit(0)).count() == 0
+    assert not G.finished(e).first().finished and G.finished(e.limit(0)).first().finished
+    assert {r.component: r.optimum for r in G.path_cycle_optimum(e).collect()} == {5: 2, 9: 1}
+    _, edges = disjoint(12, 51)
+    e, best = frame(spark, edges), opt_by_part(edges)
+    got = S.searches(e, (*K.SEARCHES, "matrix"), 9).collect()
+    want = {}
+    for part in K.split(K.build(edges)):
+        want[min(part)] = optimum(part)
+    assert {(r.component, r.method): r.size for r in got} == {(c, m): n for c, n in want.items() for m in (*K.SEARCHES, "matrix")} and all(r.valid for r in got)
+    parts = {}
+    for r in S.residual_components(e).collect():
+        parts.setdefault(r.part, []).append(r.id)
+    assert sorted(x for p in parts.values() for x in p) == sorted(K.build(edges)) and all(min(p) == k for k, p in parts.items())

@@ -20,15 +20,22 @@ def test_edge_text_round_trip_and_solve(spark, tmp_path):
     X.write_cover(s.cover, f"file://{tmp_path}/cover")
     assert X.read_edges(spark, f"file://{tmp_path}/out")[0].count() == 10
     assert spark.read.text(f"file://{tmp_path}/cover").count() == 2
+    names = G.vertices(ids).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    X.write_cover(s.cover, f"file://{tmp_path}/named", names)
+    assert {r.value for r in spark.read.text(f"file://{tmp_path}/named").collect()} == {f"n{r.id}" for r in s.cover.collect()}
+    assert {r.name: r.value for r in s.statistics().collect()} == {"recursive steps": s.nodes, "vc size": 2, "proven": 1}
 
 
 def test_opb_and_answers(spark, tmp_path):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "u string, v string")
     X.write_opb(e, G.vertices(e), f"file://{tmp_path}/opb")
     assert (tmp_path / "opb/0_objective").exists()
+    whole = "".join(p.read_text() for folder in ("0_objective", "1_constraints") for p in sorted((tmp_path / "opb" / folder).glob("part-*")))
+    head, *lines = whole.split("\n")
+    assert head == "min: +1*xa +1*xb +1*xc ;" and sorted(x.strip() for x in lines if x.strip()) == ["+1*xa +1*xb >= +1;", "+1*xb +1*xc >= +1;"]
     back = X.read_opb(spark, f"file://{tmp_path}/opb/*")
     assert sorted(map(tuple, back.collect())) == [("a", "b"), ("b", "c")]
-    (tmp_path / "ok.txt").write_text("c hello\no 1\ns SATISFIABLE\nv -xa xb -xc\n")
+    (tmp_path / "ok.txt").write_text("c hello\no 1\ns SATISFIABLE\nv xa xb xc\nc better\nv -xa xb -xc\n")
     (tmp_path / "cut.txt").write_text("c *** Interrupted ***\nv xa xb\n")
     assert [r.name for r in X.read_answer(spark, f"file://{tmp_path}/ok.txt").collect()] == ["b"]
     assert X.read_answer(spark, f"file://{tmp_path}/cut.txt").count() == 0
@@ -74,6 +81,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert "#difference: 5" in capsys.readouterr().out
     cli.main(["bounds", url], spark)
     assert "#clique bound:" in capsys.readouterr().out
+    cli.main(["kernel", url, "--rules", "R1,R2,R6,R7"], spark)
+    assert "#difference: 5" in capsys.readouterr().out
+    for k, want in ((4, "no"), (5, "yes")):
+        cli.main(["decide", url, "--k", str(k)], spark)
+        assert f"#cover: {want}" in capsys.readouterr().out
+    (tmp_path / "answer.txt").write_text("v xq -xr\n")
+    cli.main(["answer", f"file://{tmp_path}/answer.txt"], spark)
+    assert capsys.readouterr().out.split() == ["q"]
     cli.main(["opb", url, "--out", f"file://{tmp_path}/opb"], spark)
     assert X.read_opb(spark, f"file://{tmp_path}/opb/*").count() == 8
 
