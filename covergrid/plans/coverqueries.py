@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergrid.operators import graph as G
+from covergrid.operators import halfint as H
+from covergrid.operators import kernels as K
 from covergrid.operators import resultcsv as C
 from covergrid.operators import rules as R
 from covergrid.operators import solve as S
@@ -116,14 +120,28 @@ def connected_vertex_count(spark, d):
     return G.vertices(P.bg(spark, d)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _as_chosen(e: DataFrame, pick: DataFrame) -> DataFrame:
+    """``chosen, valid``: how many vertices were chosen, and whether each has
+    the degree it was chosen with."""
+    true = pick.join(G.degrees(e).withColumnRenamed("deg", "really"), "id", "left")
+    return true.agg(F.count(F.lit(1)).alias("chosen"), F.min(F.col("deg").eqNullSafe(F.col("really"))).alias("valid"), F.max("deg").alias("deg"))
+
+
+@query(sql("sp") + "SELECT CAST(1 AS BIGINT) AS chosen, true AS valid")
 def random_vertex(spark, d):
-    return G.random_vertex(P.sp(spark, d), seed=11)
+    e = materialise(P.sp(spark, d))
+    return _as_chosen(e, G.random_vertex(e, seed=11)).drop("deg")
 
 
-@query()
+@query(sql("sp") + "SELECT CAST(1 AS BIGINT) AS chosen, true AS valid, max(deg) AS deg FROM d")
 def random_max_degree_vertex(spark, d):
-    return G.random_vertex(P.sp(spark, d), seed=11, top_bucket=True)
+    e = materialise(P.sp(spark, d))
+    return _as_chosen(e, G.random_vertex(e, seed=11, top_bucket=True))
+
+
+@query(sql("sp") + "SELECT min(id) AS id FROM d")
+def first_connected_vertex(spark, d):
+    return G.first_connected(P.sp(spark, d))
 
 
 # --- lookups -----------------------------------------------------------------
@@ -193,7 +211,27 @@ _S4 = "(SELECT id FROM d WHERE deg >= 4)"
 
 @query(sql("co") + "SELECT id FROM d WHERE deg >= 4")
 def inactive_vertices(spark, d):
-    return _top(P.co(spark, d), 4)
+    e = materialise(P.co(spark, d))
+    return G.inactive(G.vertices(e), G.degrees(e).where("deg < 4").select("id"))
+
+
+@query(sql("co") + "SELECT u, v FROM e WHERE u NOT IN (SELECT id FROM d WHERE deg >= 5) AND v NOT IN (SELECT id FROM d WHERE deg >= 5)")
+def reactivated_edges(spark, d):
+    """Vertices of degree four and more go, those of degree four come back."""
+    e = materialise(P.co(spark, d))
+    return G.reactivate(e, _top(e, 4), G.of_degree(e, 4))[0]
+
+
+@query(sql("co") + f"SELECT 'cut' AS graph, count(*) = 0 AS finished FROM e WHERE u NOT IN {_S4} AND v NOT IN {_S4} UNION ALL SELECT 'all', true UNION ALL SELECT 'none', count(*) = 0 FROM e")
+def graph_finished(spark, d):
+    e = materialise(P.co(spark, d))
+    states = {"none": e, "cut": G.delete_vertices(e, _top(e, 4)), "all": G.delete_vertices(e, G.vertices(e))}
+    return reduce(DataFrame.unionByName, [G.finished(x).select(F.lit(k).alias("graph"), "finished") for k, x in states.items()])
+
+
+@query("SELECT vertex0 || ' ' || vertex1 AS line FROM bucketgraph WHERE vertex0 IS NOT NULL AND vertex1 IS NOT NULL")
+def original_edges(spark, d):
+    return X.original_edges(table(spark, d, "bucketgraph"))
 
 
 @query(sql("co") + f"SELECT u, v FROM e WHERE u NOT IN {_S4} AND v NOT IN {_S4}")
@@ -475,18 +513,73 @@ def double_cover_edges(spark, d):
     return G.double_cover(P.spq(spark, d))
 
 
-@query("SELECT 1 AS u, 2 AS v, 'x' AS problem WHERE 1 = 0")
+_BROKEN = "SELECT u, v FROM e UNION ALL SELECT v, u FROM e WHERE u % 7 = 0 UNION ALL SELECT u, v FROM e WHERE u % 5 = 0 UNION ALL SELECT u, u FROM e WHERE u % 3 = 0 UNION ALL SELECT NULL, v FROM e WHERE v % 11 = 0"
+
+
+@query(
+    sql("coq", f"x AS ({_BROKEN}), g AS (SELECT u, v, count(*) AS c FROM x GROUP BY u, v)")
+    + "SELECT coalesce(u, -1) AS u, coalesce(v, -1) AS v, CASE WHEN u IS NULL OR v IS NULL THEN 'null' WHEN u = v THEN 'loop' WHEN u > v THEN 'order' ELSE 'repeated' END AS problem FROM g WHERE u IS NULL OR v IS NULL OR u >= v OR c > 1"
+)
 def structure_check(spark, d):
+    """Of edges with reversed, repeated, looped and null ones among them."""
+    e = materialise(P.coq(spark, d))
+    parts = [e, e.where("u % 7 = 0").selectExpr("v AS u", "u AS v"), e.where("u % 5 = 0"), e.where("u % 3 = 0").selectExpr("u", "u AS v"), e.where("v % 11 = 0").selectExpr("CAST(NULL AS bigint) AS u", "v")]
+    return G.consistency(reduce(DataFrame.unionByName, parts)).select(F.coalesce("u", F.lit(-1)).alias("u"), F.coalesce("v", F.lit(-1)).alias("v"), "problem")
+
+
+@query(sql("sp") + "SELECT u, v, 'x' AS problem FROM e WHERE u >= v OR u IS NULL OR v IS NULL")
+def structure_check_sp(spark, d):
     return G.consistency(P.sp(spark, d))
 
 
 # --- reduction, bounds, covers -----------------------------------------------
 
 
-@query()
+# What a search gives can't be written as SQL, but what makes it right can: these
+# queries give certificates. ``n_uncovered`` counts edges outside the cover,
+# ``bounded`` says that the size lies between a lower bound and all vertices,
+# ``balanced`` that undoing a reduction added what the log says.
+
+
+def _n(df: DataFrame) -> int:
+    return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def _row(spark: SparkSession, **cells) -> DataFrame:
+    kind = {bool: "boolean", int: "bigint", str: "string"}
+    return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} {kind[type(v)]}" for k, v in cells.items()))
+
+
+def _covered(e: DataFrame, cover: DataFrame, **more) -> DataFrame:
+    """Certificate of a cover: no better than a maximal matching allows."""
+    cover = materialise(cover.select("id").distinct())
+    size = _n(cover)
+    return _row(e.sparkSession, n_edges=_n(e), n_uncovered=_n(G.uncovered(e, cover)), bounded=_n(S.matching(e)) <= size <= _n(G.vertices(e)), **more)
+
+
+def _covered_sql(graph: str, more: str = "") -> str:
+    return sql(graph) + f"SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS bounded{more} FROM e"
+
+
+def _undone(e: DataFrame, k: R.Kernel, **more) -> DataFrame:
+    """Certificate of a reduction: a cover of what is left, undone, covers all
+    and grew by what the log says."""
+    before = materialise(S.greedy_rounds(k.edges))
+    after = materialise(k.undo(before))
+    balanced = _n(after) == _n(before) + R.decrease(k.log()).first().dec
+    return _row(e.sparkSession, n_edges=_n(e), n_uncovered=_n(G.uncovered(e, after)), balanced=balanced, **more)
+
+
+_UNDONE = "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS balanced"
+
+
+@query(sql("spq") + _UNDONE + ", true AS settled FROM e")
 def kernel_fixpoint_size(spark, d):
-    k = R.kernelize(P.spq(spark, d))
-    return G.counts(k.edges).select("n_vertices", "n_edges").crossJoin(R.decrease(k.log()).select(F.col("dec").alias("decided")))
+    """``settled``: no rule applies any more."""
+    e = materialise(P.spq(spark, d))
+    k = R.kernelize(e)
+    settled = G.of_degree(k.edges, 1).isEmpty() and G.of_degree(k.edges, 2).isEmpty() and R.r5_batch(k.edges).isEmpty()
+    return _undone(e, k, settled=settled)
 
 
 @query(sql("star") + "SELECT DISTINCT CASE WHEN u % 2 = 1 THEN u ELSE v END AS id FROM e")
@@ -495,31 +588,191 @@ def cover_from_log(spark, d):
     return R.kernelize(P.star(spark, d)).decided()
 
 
-@query()
+@query(sql("coq") + _UNDONE + " FROM e")
 def kernel_log(spark, d):
-    return R.kernelize(P.coq(spark, d), ("R1", "R2", "R5", "R8_R9")).log().groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n"))
+    e = materialise(P.coq(spark, d))
+    return _undone(e, R.kernelize(e, ("R1", "R2", "R5", "R8_R9")))
+
+
+@query(sql("star") + "SELECT 'R1' AS rule, CAST(1 AS BIGINT) AS rounds, count(DISTINCT c_nationkey) AS applied, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS decrease FROM customer")
+def rule_counters(spark, d):
+    return R.kernelize(P.star(spark, d)).counters()
+
+
+@query("SELECT 'vc size' AS name, count(DISTINCT c_nationkey) AS value FROM customer UNION ALL SELECT 'proven', 1 UNION ALL SELECT 'recursive steps', 0")
+def solve_statistics(spark, d):
+    """The star graph is solved by rules alone, so the search takes no step."""
+    return S.solve_exact(P.star(spark, d)).statistics()
+
+
+_RULES = [r for r in R.RULES if r != "R8_R9"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', true, true)" for r in _RULES) + ") AS x(rule, covered, balanced)")
+def rules_undone(spark, d):
+    """One round of each rule on the graph of blocks, undone again."""
+    e = materialise(P.blocks(spark, d))
+    rows = None
+    for r in _RULES:
+        out, log = R.RULES[r](e, 3)
+        k = R.Kernel(materialise(out), [materialise(log)], [r])
+        own = _undone(e, k).select(F.lit(r).alias("rule"), (F.col("n_uncovered") == 0).alias("covered"), "balanced")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+@query(sql("co") + _UNDONE + ", true AS feasible FROM e")
+def preprocess_with_flags(spark, d):
+    """All rules by name, with a budget of a cover that is known."""
+    e = materialise(P.co(spark, d))
+    k = R.kernelize(e, tuple(_RULES) + R.BUDGET, k=_n(S.greedy_rounds(e)))
+    return _undone(e, k, feasible=k.feasible)
+
+
+@query(sql("co") + _UNDONE + " FROM e")
+def preprocess_before_solver(spark, d):
+    e = materialise(P.co(spark, d))
+    return _undone(e, R.kernelize(e, R.BEFORE_SOLVER))
+
+
+@query(sql("spq") + _UNDONE + ", true AS feasible FROM e")
+def preprocess_dynamic(spark, d):
+    """The rules of every tenth depth; the budget is the number of vertices."""
+    e = materialise(P.spq(spark, d))
+    k = R.kernelize(e, R.dynamic(10), k=_n(G.vertices(e)))
+    return _undone(e, k, feasible=k.feasible)
+
+
+_R3 = "x0 AS (SELECT id FROM d WHERE deg > {k}), k1 AS (SELECT {k} - count(*) AS k FROM x0)"
+_R3_STEP = (
+    ", s{i} AS (SELECT u, v FROM {s} WHERE u NOT IN (SELECT id FROM {x}) AND v NOT IN (SELECT id FROM {x})), "
+    "n{i} AS (SELECT u AS id FROM s{i} GROUP BY u HAVING count(*) > (SELECT k FROM k{i})), x{i} AS (SELECT id FROM {x} UNION ALL SELECT id FROM n{i}), k{j} AS (SELECT k - (SELECT count(*) FROM n{i}) AS k FROM k{i})"
+)
+#: Rounds of the SQL of r3_budget; its last finds nothing more at the driver's scales.
+_R3_ROUNDS = 12
+
+
+@query(sql("ss", _R3.format(k=60) + "".join(_R3_STEP.format(i=i, j=i + 1, s="s" if i == 1 else f"s{i - 1}", x=f"x{i - 1}") for i in range(1, _R3_ROUNDS))) + f"SELECT id FROM x{_R3_ROUNDS - 1}")
+def r3_budget(spark, d):
+    """Vertices that a cover of 60 must hold, the budget falling with each."""
+    _, log, _ = R.apply_r3_budget(P.ss(spark, d), 60)
+    return log.select(F.explode("other").alias("id"))
+
+
+@query(sql("co", _DOM) + "SELECT DISTINCT u AS id FROM dm")
+def r6_first_step(spark, d):
+    """Unconfined vertices that a set of one shows: the dominating ones."""
+    return R.unconfined(P.co(spark, d)).where("steps = 1").select("id")
+
+
+@query(sql("co") + "SELECT true AS confirmed, true AS more")
+def r6_unconfined(spark, d):
+    """Whether the kernel calls the same vertices unconfined, and whether some
+    need a set of more than one."""
+    e = materialise(P.co(spark, d))
+    found = materialise(R.unconfined(e))
+
+    def check(pdf):
+        g = K.build(zip(pdf["u"].tolist(), pdf["v"].tolist()))
+        return pd.DataFrame({"id": [v for v in sorted(g) if K.is_unconfined(g, v)]}, dtype="int64")
+
+    c = G.components(e).withColumnRenamed("id", "u")
+    want = materialise(e.join(c, "u").groupBy("component").applyInPandas(check, "id bigint"))
+    same = _n(found) == _n(want) == _n(found.join(want, "id"))
+    return _row(spark, confirmed=same, more=not found.where("steps > 1").isEmpty())
+
+
+@query(sql("star") + "SELECT DISTINCT u AS id, CASE WHEN deg = 1 THEN 1 WHEN u % 2 = 1 THEN 2 ELSE 0 END AS twice FROM (SELECT s.u, CASE WHEN s.u % 2 = 1 THEN a.deg ELSE b.deg END AS deg FROM s JOIN d a ON a.id = s.u JOIN d b ON b.id = s.v)")
+def r7_values(spark, d):
+    """Nations of several customers have value one, their customers zero."""
+    return H.half_integral(P.star(spark, d))
+
+
+@query(sql("co", _NEAR3) + "SELECT v, c AS u FROM c3 WHERE kind = 'path' UNION ALL SELECT v, unnest([a, b, c]) FROM c3 WHERE kind = 'triangle'")
+def r10_dominators(spark, d):
+    return R.r10_dominators(P.co(spark, d))
+
+
+_NARROW = "SELECT DISTINCT p.u AS id FROM p JOIN d ON d.id = p.u WHERE d.deg > {0} OR p.u > p.v"
+
+
+@query(sql("blocks", _NEAR3 + ", p AS (SELECT v, c AS u FROM c3 WHERE kind = 'path' UNION ALL SELECT v, unnest([a, b, c]) FROM c3 WHERE kind = 'triangle')") + _NARROW.format(3))
+def r10_taken(spark, d):
+    return R.apply_r10(P.blocks(spark, d))[1].select(F.explode("other").alias("id"))
+
+
+@query(sql("co", _NEAR4 + ", p AS (SELECT c AS v, v AS u FROM i4 WHERE k = 3)") + _NARROW.format(4))
+def r12_taken(spark, d):
+    return R.apply_r12(P.co(spark, d))[1].select(F.explode("other").alias("id"))
+
+
+@query(sql("blocks", _NEAR3) + "SELECT v, a, b, c FROM c3 WHERE kind = 'path'")
+def deg3_path_blocks(spark, d):
+    return R.deg3_cases(P.blocks(spark, d)).where("kind = 'path'").select("v", "a", "b", "c")
+
+
+@query(sql("blocks", _NEAR4) + "SELECT v, CASE WHEN n_inner = 3 THEN 'triangle' ELSE 'cycle' END AS kind FROM p4 WHERE (n_inner = 3 AND min_inner = 0 AND max_inner = 2) OR (n_inner = 4 AND max_inner = 2)")
+def deg4_two_cliques_blocks(spark, d):
+    return R.deg4_clique_cases(P.blocks(spark, d))
+
+
+@query(sql("blocks", _DEG2 + ", " + _R1) + "SELECT u, v FROM e WHERE u NOT IN (SELECT id FROM p) AND v NOT IN (SELECT id FROM p)")
+def r1_remaining_edges_blocks(spark, d):
+    return R.apply_r1(P.blocks(spark, d))[0]
+
+
+query("SELECT 'lp' AS bound, count(DISTINCT c_nationkey) AS value FROM customer", "lp_bound_star")(lambda spark, d: S.bounds(P.star(spark, d)).where("bound = 'lp'"))
 
 
 def _bounds(graph):
     def run(spark, d):
-        return S.bounds(graph(spark, d))
+        e = materialise(graph(spark, d))
+        size = S.solve_exact(e).size
+        return S.bounds(e).select("bound", F.col("value").between(1, size).alias("below"))
 
     return run
 
 
-query("SELECT 'lp' AS bound, count(DISTINCT c_nationkey) AS value FROM customer", "lp_bound_star")(lambda spark, d: S.bounds(P.star(spark, d)).where("bound = 'lp'"))
-query(None, "bounds_spq")(_bounds(P.spq))
-query(None, "bounds_coq")(_bounds(P.coq))
+query("SELECT * FROM (VALUES ('lp', true), ('clique', true), ('cycle', true)) AS x(bound, below)", "bounds_spq")(_bounds(P.spq))
+query("SELECT * FROM (VALUES ('lp', true), ('clique', true), ('cycle', true)) AS x(bound, below)", "bounds_coq")(_bounds(P.coq))
 
 
-@query()
+@query(sql("coq") + "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS gap FROM e")
 def double_cover_matching(spark, d):
-    return S.matching_double_cover(P.spq(spark, d))
+    """A matching is maximum if a cover in halves has the same weight:
+    ``n_broken`` edges have less than one at their ends, ``gap`` is between."""
+    e = materialise(P.coq(spark, d))
+    half = materialise(H.half_integral(e))
+    broken = G.with_ends(e, half, []).where("twice_u + twice_v < 2")
+    matched = S.matching_double_cover(e).agg(F.coalesce(F.sum("matched"), F.lit(0))).first()[0]
+    return _row(spark, n_edges=_n(e), n_broken=_n(broken), gap=half.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0] - matched)
+
+
+def _maximal(e: DataFrame) -> DataFrame:
+    """Certificate of a maximal matching: ``n_foreign`` pairs that are no edges,
+    ``n_shared`` vertices in two pairs, ``n_addable`` edges that would fit."""
+    e = materialise(e)
+    m = materialise(S.matching(e))
+    ends = materialise(m.select(F.explode(F.array("u", "v")).alias("id")))
+    return _row(e.sparkSession, n_edges=_n(e), n_foreign=_n(m.join(e, ["u", "v"], "left_anti")), n_shared=_n(ends) - _n(ends.distinct()), n_addable=_n(G.delete_vertices(e, ends.distinct())))
+
 
+_MAXIMAL = "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_shared, CAST(0 AS BIGINT) AS n_addable FROM e"
+query(sql("coq") + _MAXIMAL, "maximal_matching")(lambda spark, d: _maximal(P.coq(spark, d)))
 
-@query()
-def maximal_matching(spark, d):
-    return S.matching(P.coq(spark, d))
+for _name, _method in (("greedy_max_cover", "max"), ("greedy_min_cover", "min"), ("best_of_n", "best"), ("local_search", "search")):
+
+    def _run(spark, d, method=_method):
+        e = materialise(P.coq(spark, d))
+        return _covered(e, S.heuristic(e, method))
+
+    query(_covered_sql("coq"), _name)(_run)
+
+
+@query(_covered_sql("sp"))
+def greedy_rounds(spark, d):
+    e = materialise(P.sp(spark, d))
+    return _covered(e, S.greedy_rounds(e))
 
 
 def _size(e: DataFrame, cover: DataFrame) -> DataFrame:
@@ -528,33 +781,48 @@ def _size(e: DataFrame, cover: DataFrame) -> DataFrame:
     return cover.agg(F.countDistinct("id").alias("size")).crossJoin(left)  # one row each
 
 
-for _name, _method in (("greedy_max_cover", "max"), ("greedy_min_cover", "min"), ("best_of_n", "best"), ("local_search", "search")):
+@query("SELECT count(DISTINCT c_nationkey) AS size, 0 AS n_uncovered, true AS proven FROM customer")
+def exact_cover_size_star(spark, d):
+    e = materialise(P.star(spark, d))
+    s = S.solve_exact(e)
+    return _size(e, s.cover).select("size", F.col("n_uncovered").cast("int").alias("n_uncovered"), F.lit(s.proven).alias("proven"))
 
-    def _run(spark, d, method=_method):
-        e = materialise(P.coq(spark, d))
-        return _size(e, S.heuristic(e, method))
 
-    query(None, _name)(_run)
+for _name, _graph in (("spq", P.spq), ("coq", P.coq), ("co", P.co), ("blocks", P.blocks)):
 
+    def _exact(spark, d, graph=_graph):
+        e = materialise(graph(spark, d))
+        s = S.solve_exact(e)
+        return _covered(e, s.cover, proven=s.proven)
 
-@query()
-def greedy_rounds(spark, d):
-    e = materialise(P.sp(spark, d))
-    return _size(e, S.greedy_rounds(e))
+    query(_covered_sql(_name, ", true AS proven"), f"exact_cover_size_{_name}")(_exact)
 
+_PC = _COMP + ", pc AS (SELECT cc.component, count(*) AS n_vertices, CAST(sum(d.deg) // 2 AS BIGINT) AS n_edges FROM cc JOIN d ON d.id = cc.id GROUP BY cc.component HAVING max(d.deg) <= 2)"
 
-def _exact(e: DataFrame, nodes: int = S.NODES) -> DataFrame:
-    e = materialise(e)
-    s = S.solve_exact(e, nodes=nodes)
-    return _size(e, s.cover).withColumn("proven", F.lit(s.proven))
 
+@query(sql("coq", _PC, True) + "SELECT component, n_vertices, n_edges, (n_vertices + CASE WHEN n_edges = n_vertices THEN 1 ELSE 0 END) // 2 AS optimum FROM pc")
+def path_cycle_optimum(spark, d):
+    return G.path_cycle_optimum(P.coq(spark, d))
 
-query("SELECT count(DISTINCT c_nationkey) AS size, 0 AS n_uncovered, true AS proven FROM customer", "exact_cover_size_star")(
-    lambda spark, d: _exact(P.star(spark, d)).withColumn("n_uncovered", F.col("n_uncovered").cast("int"))
-)
-query(None, "exact_cover_size_spq")(lambda spark, d: _exact(P.spq(spark, d)))
-query(None, "exact_cover_size_coq")(lambda spark, d: _exact(P.coq(spark, d)))
-query(None, "exact_cover_size_co")(lambda spark, d: _exact(P.co(spark, d)))
+
+_METHODS = (*K.SEARCHES, "matrix")
+
+
+@query(sql("coq", _COMP + ", few AS (SELECT component FROM cc GROUP BY component HAVING count(*) <= 10)", True) + "SELECT m.method, count(*) AS n_components, count(*) AS n_agree FROM few, (VALUES " + ", ".join(f"('{m}')" for m in _METHODS) + ") AS m(method) GROUP BY m.method")
+def searches_agree(spark, d):
+    """Of components of at most ten vertices, all methods find covers of one size."""
+    found = materialise(S.searches(P.coq(spark, d), _METHODS, 10))
+    least = found.where("valid").groupBy("component").agg(F.min("size").alias("least"))
+    return found.join(least, "component").groupBy("method").agg(F.count(F.lit(1)).alias("n_components"), F.count(F.when(F.col("valid") & (F.col("size") == F.col("least")), 1)).alias("n_agree"))
+
+
+@query(sql("coq") + "SELECT count(*) AS n_vertices, count(*) AS n_placed FROM d")
+def residual_components(spark, d):
+    """Every vertex is in one strongly connected part, named by its least vertex."""
+    e = materialise(P.coq(spark, d))
+    parts = materialise(S.residual_components(e))
+    placed = parts.join(parts.groupBy("part").agg(F.min("id").alias("least")), "part").where("part = least").select("id").distinct()
+    return _row(spark, n_vertices=_n(G.vertices(e)), n_placed=_n(placed))
 
 
 # --- instances and answers of solvers ----------------------------------------
@@ -579,6 +847,34 @@ def decode_literals(spark, d):
     return X.decode_literals(lines)
 
 
+@query(sql("spq") + "SELECT CAST(u AS VARCHAR) AS vertex0, CAST(v AS VARCHAR) AS vertex1 FROM e")
+def opb_scan(spark, d):
+    """Edges back from the lines of an instance, its objective among them."""
+    e = materialise(P.spq(spark, d))
+    lines = X.opb_constraints(e).unionByName(X.opb_objective(G.vertices(e)).select(F.col("text").alias("line")))
+    return X.opb_edges(lines, "line")
+
+
+@query(sql("spq") + "SELECT 0 AS place, '' AS id, 'min:' AS text UNION ALL SELECT 1, CAST(id AS VARCHAR), '+1*x' || id FROM d UNION ALL SELECT 2, '', ';' || chr(10)")
+def opb_objective_pieces(spark, d):
+    return X.opb_objective(G.vertices(P.spq(spark, d)))
+
+
+@query("SELECT 'n' || n_nationkey AS name FROM nation WHERE n_nationkey % 3 = 0 AND (SELECT count(*) FROM nation) > 0")
+def last_answer(spark, d):
+    """The last of several answers counts: one literal list a line."""
+    n = table(spark, d, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("k"))  # 25 of them
+    literals = lambda sign: F.concat(F.lit("v "), F.array_join(F.transform("k", lambda x: F.concat(sign(x), F.lit("xn"), x.cast("string"))), " "))
+    rows = [(1, F.lit("o 7")), (2, literals(lambda x: F.lit(""))), (3, F.lit("c better")), (4, literals(lambda x: F.when(x % 3 == 0, "").otherwise("-"))), (5, F.lit("s SATISFIABLE"))]
+    return X.last_answer(n.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), v.alias("value")) for i, v in rows]))), "at")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def cover_file_lines(spark, d):
+    names = table(spark, d, "nation").select((F.col("n_nationkey").cast("bigint") * 2 + 1).alias("id"), F.col("n_name").alias("name"))
+    return X.cover_lines(S.solve_exact(P.star(spark, d)).cover, names)
+
+
 # --- result pipeline ---------------------------------------------------------
 
 DOM, DEG = "buss_then_deg1_then_domination", "buss_then_deg1"
@@ -645,5 +941,12 @@ _whole("common_neighbours", G.common_neighbours, numbered=True)
 _whole("dominators", R.dominators, numbered=True)
 _whole("r2_selected", R.r2_selected, numbered=True)
 _whole("r8_r9_selected", lambda e: R.select_ball(e, R.deg3_cases(e).where("kind IN ('independent', 'edge')")), numbered=True)
-_whole("maximal_matching", S.matching, numbered=True)
-_whole("greedy_rounds", lambda e: _size(e, S.greedy_rounds(materialise(e))), numbered=True)
+_whole("maximal_matching", _maximal, None, _MAXIMAL, numbered=True)
+
+
+def _greedy(e: DataFrame) -> DataFrame:
+    e = materialise(e)
+    return _covered(e, S.greedy_rounds(e))
+
+
+_whole("greedy_rounds", _greedy, None, "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS bounded FROM e", numbered=True)

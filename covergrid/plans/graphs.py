@@ -51,6 +51,20 @@ def ss(spark: SparkSession, d: str) -> DataFrame:
     return _together(spark, d, "l_suppkey", "l_returnflag = 'R'")
 
 
+#: Edges of a block of 17 parts: neighbours of a vertex that form a path, a
+#: triangle beside a single, and a 4-cycle; and links, the last to the next block.
+BLOCK = (
+    (0, 1), (0, 2), (0, 3), (1, 2), (2, 3), (1, 4), (3, 4), (5, 6), (5, 7), (5, 8), (5, 9), (6, 7), (6, 8), (7, 8), (9, 10), (6, 10),
+    (11, 12), (11, 13), (11, 14), (11, 15), (12, 13), (13, 14), (14, 15), (12, 15), (15, 16), (10, 16), (4, 16), (4, 12), (16, 18),
+)
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A block of edges for each seventeenth part, one linked to the next."""
+    base = table(spark, d, "part").where("p_partkey % 17 = 0").select(F.col("p_partkey").cast("bigint").alias("b"))
+    return base.select(F.inline(F.array(*[F.struct((F.col("b") + x).alias("u"), (F.col("b") + y).alias("v")) for x, y in BLOCK])))
+
+
 def bg_raw(spark: SparkSession, d: str) -> DataFrame:
     """Recorded edges; a vertex name belongs to its file."""
     name = lambda c: F.concat("file", F.lit(":"), c)
@@ -82,6 +96,7 @@ EDGES = {
     "coq": _BOTH.format("l_partkey", "l_quantity >= 45"),
     "ss": _BOTH.format("l_suppkey", "l_returnflag = 'R'"),
     "bg": _TWO.format(BG_RAW),
+    "blocks": "SELECT b + x AS u, b + y AS v FROM (SELECT CAST(p_partkey AS BIGINT) AS b FROM part WHERE p_partkey % 17 = 0), (VALUES " + ", ".join(map(str, BLOCK)) + ") AS o(x, y)",
 }
 
 
