@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergrid.operators import compare, linecheck, profile, salting
-from covergrid.operators.drift import DriftReader
+from covergrid.operators.drift import ALIASES, FIXED, DriftReader
 from covergrid.session import table
 
 DOM = "buss_then_deg1_then_domination"
@@ -23,8 +23,11 @@ def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table, whole numbers as double here as they may be null; other
+    fields as sorted texts ``name=value``."""
     typed, _ = DriftReader(table(spark, d, "result_lines")).project()
-    return typed.withColumns({c: F.to_json(c) for c in ("extra", "overflow")})
+    text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"]))), "|")
+    return typed.withColumns({c: text(c) for c in ("extra", "overflow")} | {f: F.col(f"`{f}`").cast("double") for f, t in FIXED.items() if t != "string"})
 
 
 def p2_failed_casts(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +136,41 @@ UNION ALL SELECT p.load_id, 'retyped', a.path, a.path FROM pairs p JOIN stats a
 """
 )
 
+def _typed(name: str, kind: str) -> str:
+    digits = r"[+-]?[0-9]+" if kind != "double" else r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i)[+-]?(nan|inf|infinity)"
+    v = f"max(v) FILTER (target = '{name}' AND v <> '')"
+    return v if kind == "string" else f"CASE WHEN regexp_full_match({v}, '{digits}') THEN TRY_CAST({v} AS {kind}) END"
+
+
+_TARGETS = "CASE WHEN position = 1 THEN 'file' " + " ".join(f"WHEN regexp_replace(lower(root), '[^a-z0-9]', '', 'g') = '{''.join(c for c in name.lower() if c.isalnum())}' THEN '{to}'" for name, to in [*ALIASES.items(), *((x, x) for x in FIXED)]) + " END"
+#: Each cell under its fixed field (target) or its own name.
+_PROJECTED = (
+    _P2.split("SELECT load_id, 'renamed' AS change")[0].replace("WITH heads", "WITH RECURSIVE heads")
+    + f""", place AS (SELECT f.load_id, f.path, list_position(h.names, f.path) AS position FROM flds f JOIN heads h ON h.load_id = f.load_id),
+step AS (SELECT f.load_id, f.path, p.load_id AS p_load, p.path AS p_path FROM flds f JOIN loads l ON l.load_id = f.load_id LEFT JOIN renamed r ON r.load_id = f.load_id AND r.new_name = f.path
+ LEFT JOIN flds p ON p.load_id = l.prev_id AND p.path = coalesce(r.old_name, f.path)),
+lin AS (SELECT load_id, path, path AS root FROM step WHERE p_load IS NULL UNION ALL SELECT s.load_id, s.path, lin.root FROM step s JOIN lin ON lin.load_id = s.p_load AND lin.path = s.p_path),
+named AS (SELECT lin.load_id, lin.path, position, {_TARGETS} AS target FROM lin JOIN place USING (load_id, path)),
+fixed AS (SELECT load_id, path, position, CASE WHEN row_number() OVER (PARTITION BY load_id, target ORDER BY position) = 1 THEN target END AS target FROM named),
+lines AS (SELECT r.load_id, r.line_no, {_CELLS} AS cells, coalesce(len(h.names), 0) AS width FROM result_lines r LEFT JOIN heads h ON h.load_id = r.load_id WHERE r.line_no > 1 AND value IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER () AS k FROM lines),
+cell AS (SELECT n.k, n.load_id, n.line_no, f.path, f.target, coalesce(n.cells[f.position], '') AS v FROM numbered n JOIN fixed f ON f.load_id = n.load_id)
+"""
+)
+_P2_TABLE = (
+    _PROJECTED
+    + ", wide AS (SELECT k, "
+    + ", ".join(f'{_typed(f, t)} AS "{f}"' if t == "string" else f'CAST({_typed(f, t)} AS DOUBLE) AS "{f}"' for f, t in FIXED.items())
+    + ", string_agg(path || '=' || v, '|' ORDER BY path || '=' || v) FILTER (target IS NULL) AS extra FROM cell GROUP BY k), "
+    + "over_ AS (SELECT k, string_agg(x, '|' ORDER BY x) AS overflow FROM (SELECT k, i || '=' || cells[i] AS x FROM (SELECT k, cells, unnest(range(width + 1, len(cells) + 1)) AS i FROM numbered)) GROUP BY k) "
+    + "SELECT n.load_id, n.line_no, "
+    + ", ".join(f'"{f}"' for f in FIXED)
+    + ", coalesce(extra, '') AS extra, coalesce(overflow, '') AS overflow FROM numbered n LEFT JOIN wide ON wide.k = n.k LEFT JOIN over_ ON over_.k = n.k"
+)
+_P2_FAILED = _PROJECTED + " UNION ALL ".join(
+    f"SELECT load_id, line_no, '{f}' AS field, max(v) AS value FROM cell WHERE target = '{f}' AND v <> '' GROUP BY k, load_id, line_no HAVING ({_typed(f, t)}) IS NULL" for f, t in FIXED.items() if t != "string"
+)
+
 _NUM = r"""CASE WHEN regexp_full_match(coalesce("time", ''), '[0-9]+(\.[0-9]+)?') THEN
  regexp_replace(CASE WHEN strpos("time", '.') > 0 THEN regexp_replace("time", '\.?0+$', '') ELSE "time" END, '^0+([0-9])', '\1') ELSE coalesce("time", '') END"""
 _P3 = f"""
@@ -200,6 +238,8 @@ _BOTH = "SELECT 'vertex0' AS field, vertex0 AS vertex FROM bucketgraph UNION ALL
 SQL = {
     "p2_found": _P2,
     "p2_statistics": _DRIFT + 'SELECT load_id, path, n, filled, whole, "decimal", "bool", "text", kind FROM stats',
+    "p2_table": _P2_TABLE,
+    "p2_failed_casts": _P2_FAILED,
     "p3_found": _P3,
     "p4_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_edges": _LINES + "SELECT line_id, file, replace(split_part(t, ' ', 1), '\"', '') AS vertex0, replace(split_part(t, ' ', 2), '\"', '') AS vertex1 FROM judged WHERE reason IS NULL",
