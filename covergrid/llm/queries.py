@@ -62,6 +62,7 @@ SQL = {
     "p1_found": _SETS + """, m AS (SELECT *, min(edge_id) OVER (PARTITION BY file, lo, hi) AS first_id FROM t)
 SELECT first_id, edge_id AS copy_id FROM m WHERE edge_id <> first_id""",
     "p1_collapsed": _SETS + " SELECT min(edge_id) AS first_id, count(*) AS n_copies FROM t GROUP BY file, lo, hi",
+    "p1_rejected": f"SELECT edge_id AS first_id, CAST(1 AS BIGINT) AS n_copies FROM (SELECT edge_id, {_CANON.format('vertex0')} AS a, {_CANON.format('vertex1')} AS b FROM bucketgraph) WHERE coalesce(a, '') = '' OR coalesce(b, '') = ''",
     "p8_found": r"""WITH iw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM benchmark),
 ix AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS i, w FROM iw WHERE len(w) >= 12),
 iwin AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS win FROM ix),
