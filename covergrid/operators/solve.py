@@ -241,7 +241,8 @@ def solve_exact(e: DataFrame, nodes: int = NODES, kernel_edges: int = KERNEL_EDG
     parallel, with the best covers known and twice the nodes a round, until none
     is open. After ``seconds``, or if interrupted, the best covers so far are the result (not
     ``proven``). ``loops`` are vertices that any cover must hold. Components of
-    more than ``kernel_edges`` edges, and parts of more than ``core`` vertices
+    more than ``kernel_edges`` edges meet the half-integral rule first; those that
+    are still as large, and parts of more than ``core`` vertices
     that aren't solved within their nodes, are covered but not proven."""
     began = time.monotonic()
     rest = lambda: None if seconds is None else max(0.0, seconds - (time.monotonic() - began))
@@ -249,6 +250,10 @@ def solve_exact(e: DataFrame, nodes: int = NODES, kernel_edges: int = KERNEL_EDG
         e = G.delete_vertices(e, loops)
     kernel = R.kernelize(e, enough=min(enough, kernel_edges))
     small, large = _parts(kernel.edges, kernel_edges)
+    if not large.isEmpty():  # a cover in halves decides or cuts what no task may hold
+        more = R.kernelize(large, ("R7", "R1", "R2", "R5"))
+        kernel = R.Kernel(small.select("u", "v").unionByName(more.edges), kernel.rounds + more.rounds, kernel.names + more.names)
+        small, large = _parts(kernel.edges, kernel_edges)
     first = materialise(small.groupBy("component").applyInPandas(_first(nodes, rest(), core), FOUND))
     best = first.where("part >= 0").select("component", "part", "size", "cover")
     states = lambda df: df.select("component", "part", F.explode("open").alias("state"))

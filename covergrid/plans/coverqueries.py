@@ -737,15 +737,18 @@ query("SELECT * FROM (VALUES ('lp', true), ('clique', true), ('cycle', true)) AS
 query("SELECT * FROM (VALUES ('lp', true), ('clique', true), ('cycle', true)) AS x(bound, below)", "bounds_coq")(_bounds(P.coq))
 
 
-@query(sql("coq") + "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS gap FROM e")
-def double_cover_matching(spark, d):
+def _matched(e: DataFrame) -> DataFrame:
     """A matching is maximum if a cover in halves has the same weight:
     ``n_broken`` edges have less than one at their ends, ``gap`` is between."""
-    e = materialise(P.coq(spark, d))
     half = materialise(H.half_integral(e))
-    broken = G.with_ends(e, half, []).where("twice_u + twice_v < 2")
+    broken = G.with_ends(e, half, G.hubs_of(e)).where("twice_u + twice_v < 2")
     matched = S.matching_double_cover(e).agg(F.coalesce(F.sum("matched"), F.lit(0))).first()[0]
-    return _row(spark, n_edges=_n(e), n_broken=_n(broken), gap=half.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0] - matched)
+    return _row(e.sparkSession, n_edges=_n(e), n_broken=_n(broken), gap=half.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0] - matched)
+
+
+@query(sql("coq") + "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS gap FROM e")
+def double_cover_matching(spark, d):
+    return _matched(materialise(P.coq(spark, d)))
 
 
 def _maximal(e: DataFrame) -> DataFrame:
@@ -921,12 +924,12 @@ def csv_intersect4(spark, d):
 # --- the same operators over whole tables: all of lineitem, all of bucketgraph --
 
 
-def _whole(name: str, f: Callable[[DataFrame], DataFrame], more: str | None = None, select: str | None = None, numbered: bool = False) -> None:
+def _whole(name: str, f: Callable[[DataFrame], DataFrame], more: str | None = None, select: str | None = None, numbered: bool = False, recursive: bool = False) -> None:
     """``name_sp`` and ``name_bg``. ``numbered``: names of bucketgraph become
     dense ids first."""
-    graphs = {"sp": P.sp, "bg": P.bg_numbered if numbered else P.bg}
-    for g, build in graphs.items():
-        query(sql(g, more or "") + select if select else None, f"{name}_{g}")(lambda spark, d, build=build: f(build(spark, d)))
+    graphs = {"sp": (P.sp, "sp"), "bg": (P.bg_numbered, "bg_numbered") if numbered else (P.bg, "bg")}
+    for g, (build, own) in graphs.items():
+        query(sql(own, more or "", recursive) + select if select else None, f"{name}_{g}")(lambda spark, d, build=build: f(build(spark, d)))
 
 
 _whole("leaves", R.leaves, None, "SELECT id FROM d WHERE deg = 1")
@@ -936,10 +939,10 @@ _whole("isolated_after_delete", lambda e: G.isolated_after(e, _top(e, 4)), None,
 _whole("double_cover_edges", G.double_cover, None, "SELECT u AS l, v AS r FROM s")
 _whole("opb_constraints", X.opb_constraints, None, "SELECT '+1*x' || u || ' +1*x' || v || ' >= +1;' AS line FROM e")
 _whole("opb_objective", lambda e: X.opb_terms(G.vertices(e)), None, "SELECT '+1*x' || id AS term FROM d")
-_whole("components", G.components, numbered=True)
-_whole("common_neighbours", G.common_neighbours, numbered=True)
-_whole("dominators", R.dominators, numbered=True)
-_whole("r2_selected", R.r2_selected, numbered=True)
+_whole("components", G.components, _COMP, "SELECT id, component FROM cc", numbered=True, recursive=True)
+_whole("common_neighbours", G.common_neighbours, None, "SELECT e.u, e.v, count(*) AS common FROM e JOIN s a ON a.u = e.u JOIN s b ON b.u = e.v AND b.v = a.v GROUP BY e.u, e.v", numbered=True)
+_whole("dominators", R.dominators, _DOM, "SELECT u, v FROM dm", numbered=True)
+_whole("r2_selected", R.r2_selected, _SEL2, "SELECT v, a, b, triangle FROM sel", numbered=True)
 _whole("r8_r9_selected", lambda e: R.select_ball(e, R.deg3_cases(e).where("kind IN ('independent', 'edge')")), numbered=True)
 _whole("maximal_matching", _maximal, None, _MAXIMAL, numbered=True)
 
@@ -950,3 +953,18 @@ def _greedy(e: DataFrame) -> DataFrame:
 
 
 _whole("greedy_rounds", _greedy, None, "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS bounded FROM e", numbered=True)
+
+
+def _on(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda e: f(materialise(e))
+
+
+def _solved(e: DataFrame) -> DataFrame:
+    s = S.solve_exact(e)
+    return _covered(e, s.cover, proven=s.proven)
+
+
+_whole("exact_cover_size", _on(_solved), None, "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS bounded, true AS proven FROM e", numbered=True)
+_whole("local_search", _on(lambda e: _covered(e, S.heuristic(e, "search", tries=2))), None, "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_uncovered, true AS bounded FROM e", numbered=True)
+_whole("kernel_undone", _on(lambda e: _undone(e, R.kernelize(e))), None, _UNDONE + " FROM e", numbered=True)
+_whole("double_cover_matching", _on(_matched), None, "SELECT count(*) AS n_edges, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS gap FROM e", numbered=True)

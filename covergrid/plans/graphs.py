@@ -96,6 +96,8 @@ EDGES = {
     "coq": _BOTH.format("l_partkey", "l_quantity >= 45"),
     "ss": _BOTH.format("l_suppkey", "l_returnflag = 'R'"),
     "bg": _TWO.format(BG_RAW),
+    "bg_numbered": f"""WITH e0 AS ({_TWO.format(BG_RAW)}), nm AS (SELECT name, row_number() OVER (ORDER BY min(p), name) - 1 AS id FROM (SELECT u AS name, 0 AS p FROM e0 UNION ALL SELECT v, 1 FROM e0) GROUP BY name)
+ SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM e0 JOIN nm a ON a.name = e0.u JOIN nm b ON b.name = e0.v""",
     "blocks": "SELECT b + x AS u, b + y AS v FROM (SELECT CAST(p_partkey AS BIGINT) AS b FROM part WHERE p_partkey % 17 = 0), (VALUES " + ", ".join(map(str, BLOCK)) + ") AS o(x, y)",
 }
 

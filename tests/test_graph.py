@@ -152,6 +152,9 @@ def test_frontier_and_large_components(spark):
     assert S.solve_exact(e, nodes=2000).size == want
     far = S.solve_exact(e, kernel_edges=10)  # never meets a kernel
     assert G.uncovered(e, far.cover).count() == 0 and not far.proven
+    two_sided = frame(spark, sorted({(i, 100 + rng.randrange(30)) for i in range(40) for _ in range(4)}))
+    solved = S.solve_exact(two_sided, kernel_edges=10, enough=10**6)  # the half-integral rule solves it
+    assert solved.proven and solved.size == len(K.branch_and_bound(K.build((r.u, r.v) for r in two_sided.collect()))[0])
     forced = S.solve_exact(frame(spark, [(1, 2), (2, 3)]), loops=spark.createDataFrame([(1,)], "id bigint"))
     assert ids(forced.cover)[0] == 1 and forced.size == 2
 
@@ -177,8 +180,12 @@ def test_selection_is_disjoint(spark):
 
 
 def test_greedy_rounds_cover_long_paths_in_order_of_ids(spark):
-    e = frame(spark, [(i, i + 1) for i in range(1, 1100)])
-    assert G.uncovered(e, S.greedy_rounds(e)).count() == 0
+    e = frame(spark, [(i, i + 1) for i in range(1, 5001)])
+    for edges in (200, 10**6):
+        cover = S.greedy_rounds(e, edges)
+        assert G.uncovered(e, cover).count() == 0 and cover.count() < 4000
+    m = S.matching(e, 200)
+    assert G.vertices(m).count() == 2 * m.count() and G.uncovered(e, G.vertices(m)).count() == 0
 
 
 def test_double_cover_matching_of_large_components(spark):
