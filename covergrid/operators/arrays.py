@@ -109,14 +109,30 @@ def matching(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return inside
 
 
-def in_one_task(e: DataFrame, f: Callable[[pa.Array, pa.Array], tuple[list[pa.Array], list[str]]], schema: str) -> DataFrame:
-    """``f`` of all edges ``u, v``, of which there are at most ``EDGES``."""
+def firsts(u: np.ndarray, v: np.ndarray, cases: np.ndarray, hashes: np.ndarray, steps: int) -> np.ndarray:
+    """Which cases are the first, by hash and then id, of all within ``steps``."""
+    ids, at = np.unique(np.concatenate([u, v, cases]), return_inverse=True)
+    a, b, c = np.split(at, [len(u), 2 * len(u)])
+    rank = ranks(hashes, cases)
+    near = np.full(len(ids), len(cases))
+    np.minimum.at(near, c, rank)
+    for _ in range(steps):
+        after = near.copy()
+        np.minimum.at(after, a, near[b])
+        np.minimum.at(after, b, near[a])
+        near = after
+    return near[c] == rank
+
+
+def in_one_task(e: DataFrame, f: Callable[..., tuple[list[pa.Array], list[str]]], schema: str) -> DataFrame:
+    """``f`` of the columns of all edges ``u, v`` (and what else they have), of
+    which there are at most ``EDGES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            arrays, names = f(*(t[c].chunk(0) for c in ("u", "v")))
+            arrays, names = f(*(c.chunk(0) for c in t.columns))
             yield from pa.Table.from_arrays(arrays, names).to_batches(max_chunksize=100_000)
 
-    return e.select("u", "v").coalesce(1).mapInArrow(run, schema)
+    return e.coalesce(1).mapInArrow(run, schema)

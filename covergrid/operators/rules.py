@@ -12,9 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covergrid.operators import arrays as A
 from covergrid.operators import graph as G
 from covergrid.operators.halfint import half_integral
 from covergrid.operators.salting import skew_join
@@ -189,17 +192,28 @@ def added_edges(e: DataFrame, cases: DataFrame) -> DataFrame:
     return out.select("c", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None, steps: int = 4) -> DataFrame:
+def select_ball(e: DataFrame, cases: DataFrame, seed: int | None = None, steps: int = 4, edges: int = A.EDGES) -> DataFrame:
     """Cases whose balls of radius two don't meet: those that are the first (as
     in ``select_free``) of all cases within four (or so many) steps.
 
     The first case travels along edges, one row per vertex, so a ball is never
-    listed, whatever hubs it holds; rows of hubs are salted.
+    listed, whatever hubs it holds; rows of hubs are salted. Of at most
+    ``edges`` edges and cases it travels in one task.
     """
-    s, heavy = materialise(G.symmetric(e)), G.hubs_of(e)
     h = F.lit(0).cast("bigint") if seed is None else F.xxhash64("v", F.lit(seed))
     own = materialise(cases.select(F.col("v").alias("id"), F.struct(h.alias("h"), F.col("v").alias("c")).alias("first")))
-    near = own
+    if e.count() + own.count() <= edges:
+        none = F.lit(None).cast("bigint")
+        rows = e.select("u", "v", none.alias("h")).unionByName(own.select(F.col("id").alias("u"), none.alias("v"), F.col("first.h").alias("h")))
+
+        def first(u: pa.Array, v: pa.Array, h: pa.Array) -> tuple[list[pa.Array], list[str]]:
+            case = v.is_null()
+            edge = pc.invert(case)
+            ids = u.filter(case)
+            return [ids.filter(pa.array(A.firsts(u.filter(edge).to_numpy(), v.filter(edge).to_numpy(), ids.to_numpy(), h.filter(case).to_numpy(), steps)))], ["v"]
+
+        return cases.join(materialise(A.in_one_task(rows, first, "v bigint")), "v", "left_semi")
+    s, heavy, near = materialise(G.symmetric(e)), G.hubs_of(e), own
     for _ in range(steps):
         seen = skew_join(s, near.select(F.col("id").alias("v"), "first"), ["v"], F.col("u"), heavy=heavy)
         after = materialise(seen.select(F.col("u").alias("id"), "first").unionByName(near).groupBy("id").agg(F.min("first").alias("first")))

@@ -216,6 +216,9 @@ def test_degree_three_cases_next_to_hubs_are_selected(spark):
             first[x] = min(first.get(x, v), v)
     want = sorted(v for v, b in ball.items() if all(first[x] == v for x in b))
     assert 8000 in want and sorted(r.v for r in R.select_ball(e, cases).collect()) == want
+    assert sorted(r.v for r in R.select_ball(e, cases, edges=0).collect()) == want
+    hashed = [sorted(r.v for r in R.select_ball(e, cases, 5, edges=n).collect()) for n in (0, 10**6)]
+    assert hashed[0] == hashed[1] != want
 
 
 def test_queries_over_whole_tables(spark, data):
@@ -282,13 +285,15 @@ def test_budgets_and_flags(spark):
     assert k == 3 and sorted(x for r in log.collect() for x in r.other) == [0, 10] and out.count() == 3
     _, edges = disjoint(12, 41)
     best = sum(opt_by_part(edges).values())
-    for order in (R.BEFORE_SOLVER, R.dynamic(10), tuple(r for r in R.RULES if r not in ("R2a", "R8_R9")) + R.BUDGET):
+    for order in (R.dynamic(10), ("R1", "R6", "R9", "R10", "R11", "R12") + R.BUDGET):
         kernel = R.kernelize(frame(spark, edges), order, k=best)
         assert kernel.feasible and kernel.k == best - R.decrease(kernel.log()).first().dec
         counted = kernel.counters().collect()
         assert {r.rule for r in counted} <= set(order) and sum(r.decrease for r in counted) == best - kernel.k
         assert kernel.k == sum(opt_by_part([(r.u, r.v) for r in kernel.edges.collect()]).values())
-    assert not R.kernelize(frame(spark, edges), tuple(r for r in R.RULES if r not in ("R2a", "R8_R9")), k=best - 1).feasible
+    assert not R.kernelize(frame(spark, edges), ("R1", "R2", "R5"), k=best - 1 - kernel.edges.count()).feasible
+    with pytest.raises(ValueError):
+        R.kernelize(frame(spark, edges), ("R3",))
 
 
 def test_activity_paths_and_searches(spark):
