@@ -62,27 +62,37 @@ class DriftReader:
         """``load_id, path, position`` of each header, empty names left out."""
         return self.loads.select("load_id", F.posexplode("names").alias("position", "path")).where("path <> ''")
 
+    def _counted(self) -> DataFrame:
+        """``loads`` with ``fields``: an array of (path, position, n, filled, whole,
+        decimal, bool, text, kind) for each named field of its header."""
+        width = self.loads.agg(F.coalesce(F.max(F.size("names")), F.lit(0))).first()[0]  # cells beyond any header aren't counted
+        v = self.body.select("load_id", F.posexplode(F.slice(_cells(F.col("value")), 1, width)).alias("position", "value")).select("load_id", "position", F.when(F.col("value") != "", kind_of(F.col("value"))).alias("kind"))
+        s = v.groupBy("load_id", "position").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        per = s.groupBy("load_id").agg(F.collect_list(F.struct("position", "n", "filled", *KINDS)).alias("cells"))  # a header's length at most
+        at = lambda i: F.get(F.filter("cells", lambda x: x["position"] == i), F.lit(0))
+        lines = F.get(F.filter("cells", lambda x: x["position"] == 0), F.lit(0))["n"]  # each line has a first cell
+        counted = lambda c: F.when(F.col("lines").isNotNull(), F.coalesce(c, F.lit(0)))
+        both = self.loads.join(per, "load_id", "left").withColumn("lines", lines)
+        fields = F.transform("names", lambda x, i: F.struct(x.alias("path"), i.alias("position"), F.col("lines").alias("n"), *[counted(at(i)[k]).alias(k) for k in ("filled", *KINDS)]))
+        both = both.withColumn("fields", F.filter(fields, lambda f: f["path"] != ""))
+
+        def kind(f):
+            out = F.lit(None).cast("string")
+            for k in KINDS:
+                out = F.when(f[k] * 2 > f["filled"], F.lit(k)).otherwise(out)
+            return out
+
+        return both.withColumn("fields", F.transform("fields", lambda f: f.withField("kind", kind(f)))).drop("cells", "lines")
+
     def statistics(self) -> DataFrame:
         """Counts of each kind by load and path, and the kind that more than
         half of the filled values have (null if none)."""
-        v = self.body.select("load_id", F.posexplode(_cells(F.col("value"))).alias("position", "value")).select("load_id", "position", F.when(F.col("value") != "", kind_of(F.col("value"))).alias("kind"))
-        s = v.groupBy("load_id", "position").agg(F.count("kind").alias("filled"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
-        lines = self.body.groupBy("load_id").agg(F.count(F.lit(1)).alias("lines"))
-        found = self.fields().join(s, ["load_id", "position"], "left").join(lines, "load_id", "left")
-        zero = lambda c: F.when(F.col("lines").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
-        found = found.select("load_id", "path", "position", F.col("lines").alias("n"), *[zero(c) for c in ("filled", *KINDS)])
-        kind = F.lit(None).cast("string")
-        for k in KINDS:
-            kind = F.when(F.col(k) * 2 > F.col("filled"), F.lit(k)).otherwise(kind)
-        return found.withColumn("kind", kind)
+        return self._counted().select("load_id", F.inline("fields"))
 
     def _pairs(self) -> DataFrame:
         """``load_id, prev_id, gone, new, retyped`` of each load and the one
         before: arrays of (path, position, kind), no longer than a header."""
-        own = self.statistics().groupBy("load_id").agg(F.sort_array(F.collect_list(F.struct("path", "position", "kind"))).alias("now"))
-        both = self.loads.select("load_id", "prev_id", "campaign", "written_at").join(own, "load_id", "left")
-        empty = F.array().cast("array<struct<path:string,position:int,kind:string>>")
-        both = both.withColumn("now", F.coalesce("now", empty))
+        both = self._counted().withColumn("now", F.transform("fields", lambda f: F.struct(f["path"].alias("path"), f["position"].alias("position"), f["kind"].alias("kind"))))
         both = both.withColumn("was", F.lag("now").over(_order())).where("prev_id IS NOT NULL")
         there = lambda xs, x: F.exists(xs, lambda y: y["path"] == x["path"])
         other = lambda xs, x: F.exists(xs, lambda y: (y["path"] == x["path"]) & (y["kind"] != x["kind"]))
