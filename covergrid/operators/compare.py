@@ -85,7 +85,9 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: dict
     rows = one(left, 0).unionByName(one(right, 1))
     folded = rows.groupBy(*ks, "side").agg(*[F.min(f"f{i}").alias(f"l{i}") for i in range(len(names))], *[F.max(f"f{i}").alias(f"h{i}") for i in range(len(names))])
     flat = folded.select(*ks, "side", *[F.struct(f"l{i}", f"h{i}").alias(f"f{i}") for i in range(len(names))])
-    flat = flat.select(*ks, "side", *[F.concat(F.length(f"f{i}.l{i}").cast("string"), F.lit(":"), F.col(f"f{i}.l{i}"), F.col(f"f{i}.h{i}")).alias(f"f{i}") for i in range(len(names))])
+    # one value as it is, else both, told apart by the first sign
+    spell = lambda l, h: F.when(l == h, F.concat(F.lit("="), l)).otherwise(F.concat(F.length(l).cast("string"), F.lit(":"), l, h))
+    flat = flat.select(*ks, "side", *[spell(F.col(f"f{i}.l{i}"), F.col(f"f{i}.h{i}")).alias(f"f{i}") for i in range(len(names))])
     ranged = (flat.repartitionByRange(parts, *ks) if parts else flat.repartitionByRange(*ks)).sortWithinPartitions(*ks, "side")
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
     out = ranged.mapInArrow(_merge(names, len(keys)), ", ".join(f"{k} {kinds[k]}" for k in ks) + ", difference string")
