@@ -513,31 +513,32 @@ def cycle_bound(g: Graph) -> int:
     depth-first search, and of one per edge of a matching in what is left."""
     left = copy(g)
     bound = 0
+    at: dict[int, int] = {}  # place on the path, -1 for what was left without a cycle and can't be in one
     for root in sorted(g):
-        while root in left:
-            path, at, cycle = [root], {root: 0}, None
-            iters = [iter(sorted(left[root]))]
-            while path and cycle is None:
-                u = path[-1]
-                for w in iters[-1]:
-                    if w in at:
-                        if at[w] >= 0 and len(path) - at[w] > 2:
-                            cycle = path[at[w] :]
-                            break
-                        continue
-                    at[w] = len(path)
-                    path.append(w)
-                    iters.append(iter(sorted(left[w])))
-                    break
-                else:
-                    at[u] = -1
-                    path.pop()
-                    iters.pop()
-            if cycle is None:
+        if root not in left or root in at:
+            continue
+        at[root] = 0
+        path, iters = [root], [iter(sorted(left[root]))]
+        while path:
+            for w in iters[-1]:
+                if w not in left:  # went with a cycle
+                    continue
+                if w in at:
+                    if at[w] >= 0 and len(path) - at[w] > 2:
+                        first = at[w]
+                        bound += (len(path) - first + 1) // 2
+                        for v in path[first:]:
+                            drop(left, v)
+                        del path[first:], iters[first:]
+                        break
+                    continue
+                at[w] = len(path)
+                path.append(w)
+                iters.append(iter(sorted(left[w])))
                 break
-            bound += (len(cycle) + 1) // 2
-            for v in cycle:
-                drop(left, v)
+            else:
+                at[path.pop()] = -1
+                iters.pop()
     used: set[int] = set()
     for v in sorted(left, key=lambda x: (len(left[x]), x)):
         w = next((w for w in sorted(left[v]) if w not in used), None) if v not in used else None

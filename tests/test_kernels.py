@@ -72,6 +72,17 @@ def test_bounds_heuristics_and_searches():
         assert optimum(h) + dec == best and len(K.undo(log, K.branch_and_bound(h)[0])) == best
 
 
+def test_cycle_bound_walks_each_edge_a_few_times(monkeypatch):
+    """A star and a long way to many cycles took quadratic time."""
+    asked = []
+    monkeypatch.setattr(K, "sorted", lambda x, **how: asked.append(len(x)) or sorted(x, **how), raising=False)
+    star = K.build([(0, i) for i in range(1, 1001)])
+    tail = K.build([(i, i + 1) for i in range(600)] + [(600 + 3 * k, 600 + 3 * k + d) for k in range(100) for d in (1, 2, 3)] + [(601 + 3 * k, 602 + 3 * k) for k in range(100)])
+    for g, want in ((star, 1), (tail, 500)):
+        asked.clear()
+        assert K.cycle_bound(g) == want and sum(asked) <= 8 * K.n_edges(g)
+
+
 def test_high_degree_and_buss():
     for g in graphs(200, 8):
         best, log = optimum(g), []
