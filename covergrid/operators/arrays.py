@@ -124,6 +124,126 @@ def firsts(u: np.ndarray, v: np.ndarray, cases: np.ndarray, hashes: np.ndarray,
     return near[c] == rank
 
 
+class Arcs:
+    """A directed graph, or a bipartite one with its left and right vertices
+    numbered alike: arcs ``l, r`` by their first end."""
+
+    def __init__(self, l: np.ndarray, r: np.ndarray):
+        self.ids, at = np.unique(np.concatenate([l, r]), return_inverse=True)
+        a, b = np.split(at, 2)
+        self._index(a, b, len(self.ids))
+
+    def _index(self, a: np.ndarray, b: np.ndarray, n: int) -> None:
+        self.near = b[np.argsort(a, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+        self.degree = np.diff(self.start)
+
+    def reversed(self) -> Arcs:
+        out = Arcs.__new__(Arcs)
+        out.ids = self.ids
+        out._index(self.near, np.repeat(np.arange(len(self.ids)), self.degree), len(self.ids))
+        return out
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both ends of all arcs from the vertices ``at``."""
+        n = self.degree[at]
+        first = np.cumsum(n) - n
+        return np.repeat(at, n), self.near[np.repeat(self.start[at] - first, n) + np.arange(n.sum())]
+
+
+def _begin(g: Arcs, left: np.ndarray, right: np.ndarray, rounds: int = 64) -> None:
+    """A maximal matching, put into the partners ``left`` and ``right`` (-1 for
+    none): edges at leaves first, which some maximum matching holds, for so many
+    rounds, then any others."""
+    back = g.reversed()
+    sides = ((g, back, left, right, g.degree.copy()), (back, g, right, left, back.degree.copy()))
+    for _ in range(rounds):
+        before = (left >= 0).sum()
+        for k, (out, into, own, other, degree) in enumerate(sides):
+            x, y = out.of(np.flatnonzero((own < 0) & (degree == 1)))
+            x, y = x[other[y] < 0], y[other[y] < 0]
+            other[y] = x  # of several leaves one stays
+            won = other[y] == x
+            x, y = x[won], y[won]
+            own[x] = y
+            degree -= np.bincount(into.of(y)[1], minlength=len(degree))
+            sides[1 - k][4][:] -= np.bincount(out.of(x)[1], minlength=len(degree))
+        if (left >= 0).sum() == before:
+            break
+    x, y = g.of(np.flatnonzero(left < 0))
+    while True:
+        free = (left[x] < 0) & (right[y] < 0)
+        x, y = x[free], y[free]
+        if not len(x):
+            return
+        pick = np.full(len(left), -1)
+        pick[y] = x
+        asked = pick[y] == x
+        left[x[asked]] = y[asked]  # a left vertex that several picked takes one of them
+        sure = asked & (left[x] == y)
+        right[y[sure]] = x[sure]
+
+
+def partners(g: Arcs) -> tuple[np.ndarray, np.ndarray]:
+    """A maximum matching of a bipartite graph: the right vertex of each left
+    one and back, -1 for none. Each phase grows a forest of alternating paths
+    from all free left vertices, all in step; a right vertex belongs to one
+    tree, each tree that meets a free one is augmented once. A phase that meets
+    none has seen all that free vertices reach."""
+    n = len(g.ids)
+    left, right = np.full(n, -1), np.full(n, -1)
+    _begin(g, left, right)
+    while True:
+        layer = np.flatnonzero((left < 0) & (g.degree > 0))
+        root, parent, end = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+        root[layer] = layer
+        while len(layer):
+            x, y = g.of(layer)
+            new = parent[y] < 0
+            x, y = x[new], y[new]
+            parent[y] = x  # one of them
+            y = y[parent[y] == x]
+            after = right[y]
+            met = y[after < 0]
+            end[root[parent[met]]] = met
+            y, layer = y[after >= 0], after[after >= 0]
+            root[layer] = root[parent[y]]
+            layer = layer[end[root[layer]] < 0]  # a tree that has met a free vertex grows no further
+        y = end[end >= 0]
+        if not len(y):
+            return left, right
+        while len(y):
+            x = parent[y]
+            before = left[x]
+            left[x], right[y] = y, x
+            y = before[before >= 0]
+
+
+def double_matching(l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges ``l, r`` of a maximum matching of a bipartite graph."""
+    g = Arcs(l, r)
+    left, _ = partners(g)
+    at = np.flatnonzero(left >= 0)
+    return g.ids[at], g.ids[left[at]]
+
+
+def halves(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``id, twice`` of ``halfint.half_integral``."""
+    g = Arcs(np.concatenate([u, v]), np.concatenate([v, u]))
+    left, right = partners(g)
+    in_l, in_r = left < 0, np.zeros(len(g.ids), bool)
+    layer = np.flatnonzero(in_l)
+    while len(layer):
+        y = g.of(layer)[1]
+        y = np.unique(y[~in_r[y]])
+        in_r[y] = True
+        layer = right[y]
+        layer = layer[layer >= 0]
+        layer = layer[~in_l[layer]]
+        in_l[layer] = True
+    return g.ids, np.where(in_r & ~in_l, 2, np.where(in_l & ~in_r, 0, 1)).astype("int32")
+
+
 def in_one_task(e: DataFrame, f: Callable[..., tuple[list[pa.Array], list[str]]], schema: str) -> DataFrame:
     """``f`` of the columns of all edges ``u, v`` (and what else they have), of
     which there are at most ``EDGES``."""

@@ -3,8 +3,9 @@
 The bipartite double cover has a left and a right copy of each vertex. A maximum
 matching of it gives a cover in halves: a vertex of value one is in some
 smallest cover, of value zero in none with it. Components of at most
-``KERNEL_EDGES`` edges go to a kernel, many of them to one task; larger ones are
-matched by layered joins.
+``arrays.EDGES`` edges are matched in one task, many of them together; larger
+ones lose their leaves by joins and, if they are still as large, are matched by
+layered joins.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from covergrid.operators import arrays as A
 from covergrid.operators import graph as G
-from covergrid.operators import kernels as K
 from covergrid.session import discard, materialise
 
 #: Edges of a component that one task may hold.
@@ -55,18 +55,46 @@ def matching(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     return reduce(DataFrame.unionByName, out, rest)
 
 
-def maximum_double_matching(e: DataFrame) -> DataFrame:
-    """``l, r``: a maximum matching of the bipartite double cover, by joins.
-
-    It starts from both directions of a maximal matching. Each phase grows a
-    forest of alternating paths by layers from all free left vertices; a right
-    vertex belongs to the first layer and there to one parent (by hash), so the
-    trees are disjoint, and each tree that meets a free right vertex is
-    augmented once. A phase that finds none has seen all that free vertices
-    reach, so the matching is maximum.
+def _without_leaves(s: DataFrame, edges: int) -> tuple[DataFrame, list[DataFrame]]:
+    """A bipartite graph ``l, r`` without what its leaves decide, and the edges
+    at leaves of a maximum matching: any leaf may take its only neighbour. It
+    goes on while there are more than ``edges`` edges and a tenth goes a round;
+    a long path would go on for long."""
+    sure, n, before = [], s.count(), None
+    while n > edges and (before is None or n < 0.9 * before):
+        for own, other in (("l", "r"), ("r", "l")):
+            leaf = s.groupBy(own).agg(F.min(other).alias(other), F.count(F.lit(1)).alias("n")).where("n = 1")
+            won = materialise(leaf.groupBy(other).agg(F.min(own).alias(own)).select("l", "r"))
+            after = materialise(s.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti").select("l", "r"))
+            discard(s)
+            s = after
+            sure.append(won)
+        before, n = n, s.count()
+    return s, sure
+
+
+def maximum_double_matching(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
+    """``l, r``: a maximum matching of the bipartite double cover. A graph of
+    more than ``edges`` edges loses its leaves first; what is left then is
+    finished in one task, or by joins if it has more edges still."""
+    s, sure = _without_leaves(materialise(G.double_cover(e)), 2 * edges)
+    if s.count() <= 2 * edges:
+        rest = materialise(A.in_one_task(s, lambda l, r: ([pa.array(x) for x in A.double_matching(l.to_numpy(), r.to_numpy())], ["l", "r"]), "l bigint, r bigint"))
+    else:
+        rest = _phases(s)
+    return reduce(DataFrame.unionByName, sure, rest)
+
+
+def _phases(s: DataFrame) -> DataFrame:
+    """A maximum matching of a bipartite graph ``l, r``, by joins.
+
+    Each phase grows a forest of alternating paths by layers from all free left
+    vertices; a right vertex belongs to the first layer and there to one parent
+    (by hash), so the trees are disjoint, and each tree that meets a free right
+    vertex is augmented once. A phase that finds none has seen all that free
+    vertices reach, so the matching is maximum.
     """
-    s = materialise(G.symmetric(e).select(F.col("u").alias("l"), F.col("v").alias("r")))
-    mate = materialise(G.symmetric(matching(e)).select(F.col("u").alias("l"), F.col("v").alias("r")))
+    mate = materialise(s.limit(0))
     phase = 0
     while True:
         layer = s.select("l").distinct().join(mate, "l", "left_anti").select("l", F.col("l").alias("root"))
@@ -106,15 +134,14 @@ def in_groups(small: DataFrame, edges: int = KERNEL_EDGES) -> DataFrame:
     return small.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(n * 8)).cast("int"))
 
 
-def half_integral(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def half_integral(e: DataFrame, kernel_edges: int = A.EDGES) -> DataFrame:
     """``id, twice``: twice the value (0, 1 or 2) of each vertex in the smallest
     cover in halves that alternating paths from the free left vertices give."""
     small, large = split_by_size(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, zero = K.half_integral(K.build(zip(pdf["u"].tolist(), pdf["v"].tolist())))
-        ids = sorted({*pdf["u"].tolist(), *pdf["v"].tolist()})
-        return pd.DataFrame({"id": ids, "twice": [2 if v in one else 0 if v in zero else 1 for v in ids]})
+        ids, twice = A.halves(pdf["u"].to_numpy(), pdf["v"].to_numpy())
+        return pd.DataFrame({"id": ids, "twice": twice})
 
     out = in_groups(small).groupBy("task").applyInPandas(run, "id bigint, twice int")
     return out if large.isEmpty() else out.unionByName(_by_joins(large.select("u", "v")))

@@ -14,6 +14,7 @@ import time
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,16 +99,19 @@ def bounds(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     return per.groupBy("bound").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum("value")).cast("bigint").alias("value"))
 
 
-def matching_double_cover(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def matching_double_cover(e: DataFrame, kernel_edges: int = A.EDGES) -> DataFrame:
     """``component, matched``: maximum matching of the double cover per
-    component, by Hopcroft and Karp up to ``kernel_edges`` edges and by joins
-    above."""
+    component, in one task up to ``kernel_edges`` edges and by joins above."""
     small, large = split_by_size(e, kernel_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "matched": [len(K.hopcroft_karp(_graph(pdf))[0])]})
+        u, v, c = (pdf[x].to_numpy() for x in ("u", "v", "component"))
+        ids, first = np.unique(np.concatenate([u, v]), return_index=True)
+        left, _ = A.double_matching(np.concatenate([u, v]), np.concatenate([v, u]))
+        component, matched = np.unique(np.concatenate([c, c])[first][np.searchsorted(ids, left)], return_counts=True)
+        return pd.DataFrame({"component": component, "matched": matched})
 
-    per = small.groupBy("component").applyInPandas(run, "component bigint, matched bigint")
+    per = H.in_groups(small).groupBy("task").applyInPandas(run, "component bigint, matched bigint")
     return per if large.isEmpty() else per.unionByName(_matched(large))
 
 

@@ -260,6 +260,24 @@ def test_unconfined_and_half_integral_against_kernels(spark):
         assert got == {v: 2 if v in one else 0 if v in zero else 1 for v in g}
 
 
+def test_large_components_are_matched_in_few_steps(spark, monkeypatch):
+    """Leaves go by joins and the rest in one task, not by layers of joins; all ways agree."""
+    _, edges = disjoint(6, 77)
+    edges += [(1000 + i, 1001 + i) for i in range(12)] + [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)] + [(3000, 3001 + i) for i in range(9)]
+    e, g = frame(spark, edges), K.build(edges)
+    made, real = [], H.materialise
+    monkeypatch.setattr(H, "materialise", lambda df: made.append(1) or real(df))
+    size = len(K.hopcroft_karp(g)[0])
+    for most in (10**6, 0):
+        made.clear()
+        m = [tuple(r) for r in (H.maximum_double_matching(e, most) if most < 10**6 else H.maximum_double_matching(e)).collect()]
+        assert len(m) == len({l for l, _ in m}) == len({r for _, r in m}) == size and all(r in g[l] for l, r in m)
+        assert most < 10**6 or len(made) <= 3
+    assert sum(r.matched for r in S.matching_double_cover(e).collect()) == size
+    one, zero = K.half_integral(g)
+    assert {r.id: r.twice for r in H.half_integral(e).collect()} == {v: 2 if v in one else 0 if v in zero else 1 for v in g}
+
+
 def test_two_cliques_are_reduced_and_undone(spark):
     rng = random.Random(6)
     edges = []
