@@ -244,6 +244,75 @@ def halves(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g.ids, np.where(in_r & ~in_l, 2, np.where(in_l & ~in_r, 0, 1)).astype("int32")
 
 
+def strong(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``id, part``: the strongly connected parts of arcs ``a, b``, by their
+    least vertex. Vertices that nothing leads to, or that lead nowhere, go first;
+    then Tarjan's search on an explicit stack."""
+    ids = np.unique(np.concatenate([a, b]))
+    part = np.arange(len(ids))
+    a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    a, b = a[a != b], b[a != b]
+    for _ in range(64):
+        into, out = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        into[b] = out[a] = True
+        inner = into[a] & out[b]
+        if inner.all():
+            break
+        a, b = a[inner], b[inner]
+    if not len(a):
+        return ids, ids
+    g = Arcs(a, b)
+    near, start, place = g.near.tolist(), g.start.tolist(), g.ids
+    n = len(place)
+    index, low, at, inside, least = [-1] * n, [0] * n, start[:-1], bytearray(n), np.empty(n, "int64")
+    seen, stack = 0, []
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        index[root] = low[root] = seen
+        seen += 1
+        stack.append(root)
+        inside[root] = 1
+        path = [root]
+        while path:
+            x = path[-1]
+            k = at[x]
+            if k < start[x + 1]:
+                at[x] = k + 1
+                y = near[k]
+                if index[y] < 0:
+                    index[y] = low[y] = seen
+                    seen += 1
+                    stack.append(y)
+                    inside[y] = 1
+                    path.append(y)
+                elif inside[y] and index[y] < low[x]:
+                    low[x] = index[y]
+                continue
+            path.pop()
+            if path and low[x] < low[path[-1]]:
+                low[path[-1]] = low[x]
+            if low[x] == index[x]:
+                whole = []
+                while not whole or whole[-1] != x:
+                    whole.append(stack.pop())
+                    inside[whole[-1]] = 0
+                least[whole] = min(whole)  # numbered in the order of their ids
+    part[place] = place[least]
+    return ids, ids[part]
+
+
+def residual(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``id, part`` of ``solve.residual_components``."""
+    g = Arcs(np.concatenate([u, v]), np.concatenate([v, u]))
+    right = partners(g)[1]
+    x, y = g.of(np.arange(len(g.ids)))
+    to = right[y]
+    own = np.arange(len(g.ids))  # each vertex is in a part
+    at, part = strong(np.concatenate([x[to >= 0], own]), np.concatenate([to[to >= 0], own]))
+    return g.ids[at], g.ids[part]
+
+
 def in_one_task(e: DataFrame, f: Callable[..., tuple[list[pa.Array], list[str]]], schema: str) -> DataFrame:
     """``f`` of the columns of all edges ``u, v`` (and what else they have), of
     which there are at most ``EDGES``."""

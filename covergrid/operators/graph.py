@@ -9,6 +9,9 @@ return new DataFrames; nothing is collected unless said.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,6 +289,50 @@ def components(e: DataFrame, edges: int = A.EDGES) -> DataFrame:
     return materialise(skew_join(label, names, ["component"], F.col("id")).select("id", F.col("name").alias("component")))
 
 
+def strong_components(arcs: DataFrame, edges: int = 2 * A.EDGES) -> DataFrame:
+    """``id, part``: the strongly connected parts of arcs ``a, b``, by their
+    least vertex; parts of one vertex may be missing.
+
+    While there are more than ``edges`` arcs, vertices that nothing leads to, or
+    that lead nowhere, go. When those are few, the greatest vertex that reaches
+    it becomes the colour of each vertex; what reaches the vertex that gave the
+    colour within it is one part. The rest is finished in one task. Colours go
+    one arc a round, so long ways take long.
+    """
+    left, found = materialise(arcs.where("a <> b").select("a", "b").distinct()), []
+    n = left.count()
+    while n > edges:
+        inner = materialise(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        discard(left)
+        left, before = inner, n
+        n = left.count()
+        if not n or n < 0.9 * before:
+            continue
+        colour = held = materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("colour")))
+        while True:
+            most = left.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("most"))
+            after = materialise(colour.join(most, "id", "left").select("id", F.greatest("colour", "most").alias("colour"), (F.col("most") > F.col("colour")).alias("new")))
+            discard(held)
+            colour, held = after.select("id", "colour"), after
+            if after.where("new").isEmpty():
+                break
+        ends = {c: colour.select(F.col("id").alias(c), F.col("colour").alias(f"colour_{c}")) for c in "ab"}
+        own = materialise(left.join(ends["a"], "a").join(ends["b"], "b").where("colour_a = colour_b").select("a", "b"))
+        new = reached = materialise(colour.where("id = colour").select("id"))
+        while not new.isEmpty():
+            near = own.join(new.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+            new = materialise(near.join(reached, "id", "left_anti"))
+            reached = reached.unionByName(new)
+        whole = colour.join(reached, "id", "left_semi")
+        found.append(materialise(whole.join(whole.groupBy("colour").agg(F.min("id").alias("part")), "colour").select("id", "part")))
+        gone = found[-1].select("id")
+        after = materialise(own.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        discard(left, own, held)
+        left, n = after, after.count()
+    rest = A.in_one_task(left, lambda a, b: ([pa.array(x) for x in A.strong(a.to_numpy(), b.to_numpy())], ["id", "part"]), "id bigint, part bigint")
+    return reduce(DataFrame.unionByName, found, rest)
+
+
 def path_cycle_optimum(e: DataFrame) -> DataFrame:
     """``component, n_vertices, n_edges, optimum`` of a graph of degree at most
     two: half the vertices of a path, of a cycle rounded up. Components with a

@@ -161,19 +161,25 @@ def searches(e: DataFrame, methods: tuple[str, ...], vertices: int) -> DataFrame
     return H.in_groups(small).groupBy("task").applyInPandas(run, "component bigint, method string, size bigint, valid boolean")
 
 
-def residual_components(e: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def residual_components(e: DataFrame, kernel_edges: int = A.EDGES, edges: int = A.EDGES) -> DataFrame:
     """``id, part``: strongly connected components of the residual graph of a
     maximum matching of the double cover, by their least vertex. Components of
-    more than ``kernel_edges`` edges are refused."""
+    more than ``kernel_edges`` edges are matched and taken apart by joins, until
+    at most ``edges`` edges are left for one task."""
     small, large = split_by_size(e, kernel_edges)
-    if not large.isEmpty():
-        raise ValueError("a component is too large for one task")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = K.residual_components(_graph(pdf))
-        return pd.DataFrame([(v, min(p)) for p in parts for v in p], columns=["id", "part"])
-
-    return H.in_groups(small).groupBy("task").applyInPandas(run, "id bigint, part bigint")
+        ids, part = A.residual(pdf["u"].to_numpy(), pdf["v"].to_numpy())
+        return pd.DataFrame({"id": ids, "part": part})
+
+    out = H.in_groups(small).groupBy("task").applyInPandas(run, "id bigint, part bigint")
+    if large.isEmpty():
+        return out
+    s = materialise(G.double_cover(large))
+    to = maximum_double_matching(large.select("u", "v"), edges).select("r", F.col("l").alias("b"))
+    parts = G.strong_components(s.join(to, "r").select(F.col("l").alias("a"), "b"), 2 * edges)
+    every = s.select(F.col("l").alias("id")).distinct()
+    return out.unionByName(every.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part")))
 
 
 class Solution:

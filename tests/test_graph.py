@@ -278,6 +278,42 @@ def test_large_components_are_matched_in_few_steps(spark, monkeypatch):
     assert {r.id: r.twice for r in H.half_integral(e).collect()} == {v: 2 if v in one else 0 if v in zero else 1 for v in g}
 
 
+def reaching(vs, arcs):
+    """Least vertex of the strongly connected part of each."""
+    to = {v: {y for x, y in arcs if x == v} for v in vs}
+    reach = {}
+    for v in vs:
+        seen, todo = {v}, [v]
+        while todo:
+            for y in to[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        reach[v] = seen
+    return {v: min(w for w in reach[v] if v in reach[w]) for v in vs}
+
+
+def test_strong_components_by_joins_and_in_one_task(spark):
+    rng = random.Random(21)
+    arcs = {(10 * k + rng.randrange(6), 10 * k + rng.randrange(6)) for k in range(12) for _ in range(9)} | {(200 + i, 200 + (i + 1) % 7) for i in range(7)} | {(203, 3), (300, 301)}
+    df, want = spark.createDataFrame(sorted(arcs), "a bigint, b bigint"), reaching({x for p in arcs for x in p}, arcs)
+    for edges in (0, 30, 10**6):
+        got = {r.id: r.part for r in G.strong_components(df, edges).collect()}
+        assert {v: got.get(v, v) for v in want} == want and len(got) == G.strong_components(df, edges).count()
+    assert G.strong_components(df.limit(0), 0).count() == 0
+
+
+def test_residual_components_of_large_components(spark):
+    """A component too large for one task was refused."""
+    edges = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), (10, 11), (11, 12), (12, 13), (10, 13), (20, 21), (30, 31), (31, 32)]
+    e, g = frame(spark, edges), K.build(edges)
+    want = {v: min(p) for p in K.residual_components(g) for v in p}
+    for kernel_edges, most in ((3, 0), (3, 10**6), (10**6, 10**6)):
+        got = S.residual_components(e, kernel_edges, most).collect()
+        part = {r.id: r.part for r in got}
+        assert len(got) == len(part) and set(part) == set(g)
+        assert {v: p for v, p in part.items() if v < 30} == {v: p for v, p in want.items() if v < 30}  # there the matching is perfect, so it doesn't matter which
+
+
 def test_two_cliques_are_reduced_and_undone(spark):
     rng = random.Random(6)
     edges = []
