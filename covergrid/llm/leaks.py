@@ -2,14 +2,16 @@
 
 Words become template tokens: numbers, names, units and quantities turn into
 typed placeholders (slots), each by its own form, whatever stands in the items.
-Windows of template tokens of corpus and items are hash-joined, and their slots
-must be filled consistently, one value for one value. Two windows are filled
-consistently exactly if equal slots stand at the same places in both, so each
-slot's distance to the same value before it in the window is part of the key:
-no pairs of windows are made to be compared.
-
-* Word for word (``EXACT``): windows of words; the key is the template together
-  with the values of its slots. Letter case doesn't count.
+Windows of template tokens of corpus and items are hash-joined by their templates
+alone; of the corpus windows that meet a template the slots must then be filled
+consistently, one value for one value. Two windows are filled consistently
+exactly if equal slots stand at the same places in both, so each slot's distance
+to the same value before it in the window is hashed as its filling, and fillings
+of a template are joined, too: no pairs of windows are made to be compared.
+
+* Word for word (``EXACT``): windows of words; the filling is the values of the
+  slots. Letter case doesn't count, so a name is a word, in any case, that some
+  item writes with a capital inside a sentence.
 * Templates: windows of spans, in which a number of several words (``1.5``,
   ``2,000``, ``thirty four``) is one slot and so is a number with its unit
   (``5kg``, ``30 seconds``). A name is a word with a capital. At the start of a
@@ -139,8 +141,8 @@ class _Sequence:
         return out
 
     def keys(self, p: np.ndarray, exact: bool) -> np.ndarray:
-        """Two hashes of each window: of its template, then of its slot values
-        (``exact``) or of the places of equal slots."""
+        """Three hashes of each window: of its template, of its filling, which is
+        its slot values (``exact``) or the places of equal slots, and of both."""
         at = p[:, None] + np.arange(WIDTH)
         shape = _blend(self.literal[at], self.kind[at].astype("uint64"))
         if exact:
@@ -148,21 +150,21 @@ class _Sequence:
         else:
             gap = self.before()[at]
             fill = np.where(gap <= np.arange(WIDTH), gap, 0).astype("uint64")
-        cell = _blend(shape, fill)
-        out = np.zeros((2, len(p)), "uint64")
+        cells = (shape, fill, _blend(shape, fill))
+        out = np.zeros((3, len(p)), "uint64")
         for k in range(WIDTH):
-            for i in (0, 1):
+            for i, cell in enumerate(cells):
                 out[i] = _blend(out[i] + np.uint64(i + 1), cell[:, k])
         return out.view("int64")
 
 
-def _exact(at: np.ndarray, owner: np.ndarray, tokens: list[str], known: frozenset[str] | None) -> _Sequence:
+def _exact(at: np.ndarray, owner: np.ndarray, tokens: list[str], known: frozenset[str] | None, names: frozenset[str]) -> _Sequence:
     """The words of the tokens, each for itself."""
     words = [_words(t) for t in tokens]
     count = np.array([len(w) for w in words] or [0], "int64")
     first = np.cumsum(count) - count
     flat = [w for ws in words for w in ws]
-    value, kind = _hash(flat, 0), np.array([kind_of(w) for w in flat], "int8")
+    value, kind = _hash(flat, 0), np.array([NAME if w in names else kind_of(w) for w in flat], "int8")
     inside = np.array([known is None or w in known for w in flat], bool)
     place = _ragged(first[at], count[at])
     kind = kind[place]
@@ -192,8 +194,8 @@ def _spans(at: np.ndarray, owner: np.ndarray, tokens: list[str], name: np.ndarra
     return _Sequence(owner[starts], np.where(span == WORD, value[starts], np.uint64(0)), whole, span, inside[starts])
 
 
-def _windows(known: frozenset[str] | None, ways: tuple[int, ...]):
-    """``id, way, key, check, n``: the windows of each text in each way."""
+def _windows(known: frozenset[str] | None, names: frozenset[str], ways: tuple[int, ...]):
+    """``id, way, key, fill, check, n``: the windows of each text in each way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,16 +212,15 @@ def _windows(known: frozenset[str] | None, ways: tuple[int, ...]):
             opens[off[:-1][off[:-1] < off[1:]]] = True
             for way in ways:
                 if way == EXACT:
-                    s = _exact(at, owner, tokens, known)
+                    s = _exact(at, owner, tokens, known, names)
                 else:
                     name = capital & (way != NO_NAMES) & ((way == ALL_NAMES) | ~opens)
                     s = _spans(at, owner, tokens, name, known)
                 p = s.windows(0 if way == EXACT else LITERALS)
                 if not len(p):
                     continue
-                key, check = s.keys(p, way == EXACT)
-                rows, n = np.unique(np.stack([s.owner[p], key, check]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0])), pa.array(np.full(len(n), way, "int32")), pa.array(rows[1]), pa.array(rows[2]), pa.array(n)], ["id", "way", "key", "check", "n"])
+                rows, n = np.unique(np.stack([s.owner[p], *s.keys(p, way == EXACT)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0])), pa.array(np.full(len(n), way, "int32")), *[pa.array(x) for x in rows[1:]], pa.array(n)], ["id", "way", "key", "fill", "check", "n"])
 
     return run
 
@@ -238,19 +239,34 @@ class LeakFinder:
         tokens = items.select(F.col(f"`{item_id}`").alias("id"), tokens_of(F.col(f"`{item_text}`")).alias("tokens"))
         self.id, self.known = item_id, None
         total = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        each = tokens.select(F.posexplode("tokens").alias("at", "token")).select("token", ((F.col("at") > 0) & F.col("token").rlike(r"^\p{Lu}")).alias("name")).distinct()
+        found = (each if total <= VOCABULARY else each.where("name")).collect()
+        self.names = frozenset(w for r in found if r.name and kind_of(w := r.token.lower()) == WORD)
         if total <= VOCABULARY:  # bounded: no more distinct tokens than that
-            each = {_bare(r.token)[0].lower() for r in tokens.select(F.explode("tokens").alias("token")).distinct().collect()}
-            self.known = frozenset(each | {w for t in each for w in _words(t)})
-        self.windows = _made(tokens, self.known, WAYS).select(F.col("id").alias("item"), "way", "key", "check").distinct()
+            known = {_bare(r.token)[0].lower() for r in found}
+            self.known = frozenset(known | {w for t in known for w in _words(t)})
+        self.windows = self._made(tokens, WAYS).select(F.col("id").alias("item"), "way", "key", "fill", "check").distinct()
         self.small = total <= BROADCAST_WINDOWS  # about as many windows, in each way
 
-    def matches(self, docs: DataFrame, doc_id: str, doc_text: str, ways: tuple[int, ...] = WAYS) -> DataFrame:
-        """``doc, item, way, n``: windows of each document that an item has, too."""
+    def _made(self, tokens: DataFrame, ways: tuple[int, ...]) -> DataFrame:
+        kind = tokens.schema["id"].dataType.simpleString()
+        return tokens.mapInArrow(_windows(self.known, self.names, ways), f"id {kind}, way int, key bigint, fill bigint, check bigint, n bigint")
+
+    def _join(self, many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+        return many.join(F.broadcast(few), on) if self.small else skew_join(many, few, on, F.col("doc"))
+
+    def candidates(self, docs: DataFrame, doc_id: str, doc_text: str, ways: tuple[int, ...] = WAYS) -> DataFrame:
+        """``way, key, doc, fill, check, n``: windows of each document with the
+        template of an item, however its slots are filled."""
         tokens = docs.select(F.col(f"`{doc_id}`").alias("id"), tokens_of(F.col(f"`{doc_text}`")).alias("tokens")).where(F.size("tokens") > 0)
-        made = _made(tokens, self.known, ways).withColumnRenamed("id", "doc")
-        items = self.windows.where(F.col("way").isin(*ways))
-        on = ["way", "key", "check"]
-        return (made.join(F.broadcast(items), on) if self.small else skew_join(made, items, on, F.col("doc"))).select("doc", "item", "way", "n")
+        templates = self.windows.where(F.col("way").isin(*ways)).select("way", "key").distinct()
+        return self._join(self._made(tokens, ways).withColumnRenamed("id", "doc"), templates, ["way", "key"])
+
+    def matches(self, docs: DataFrame, doc_id: str, doc_text: str, ways: tuple[int, ...] = WAYS) -> DataFrame:
+        """``doc, item, way, n``: windows of each document that an item has, too:
+        those with its template, of which the slots are filled consistently."""
+        filled = self.windows.where(F.col("way").isin(*ways))
+        return self._join(self.candidates(docs, doc_id, doc_text, ways), filled, ["way", "key", "fill", "check"]).select("doc", "item", "way", "n")
 
     def leaks(self, docs: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
         """Each document and item that share at least WIDTH words in a row."""
@@ -263,8 +279,3 @@ class LeakFinder:
         each = self.matches(docs, doc_id, doc_text).groupBy("doc", "item", "way").agg(F.sum("n").alias("n"))
         most = lambda exact: F.coalesce(F.max(F.when((F.col("way") == EXACT) == exact, F.col("n"))), F.lit(0))
         return each.groupBy("doc", "item").agg(most(False).alias("n_windows"), most(True).alias("n_exact")).withColumnRenamed("doc", doc_id).withColumnRenamed("item", self.id)
-
-
-def _made(tokens: DataFrame, known: frozenset[str] | None, ways: tuple[int, ...]) -> DataFrame:
-    kind = tokens.schema["id"].dataType.simpleString()
-    return tokens.mapInArrow(_windows(known, ways), f"id {kind}, way int, key bigint, check bigint, n bigint")

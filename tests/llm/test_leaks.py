@@ -86,6 +86,21 @@ def test_slots_of_several_words_and_planted_questions(spark):
     assert got == {(100 + i, i) for i in range(40)}
 
 
+def test_templates_are_joined_first_and_slots_checked_then(spark, monkeypatch):
+    """Word for word, too: a number, unit or name is a slot, in any letter case."""
+    other = ITEM.replace("Boris", "Zelda").replace("12", "77").replace("seconds", "hours")
+    docs = [(1, "x " + ITEM.lower()), (2, "x " + other.upper()), (3, ITEM.replace("Boris", "Zelda")), (4, ITEM.replace("spare", "quiet"))]
+    items = [(1, ITEM), (2, other)]
+    for most in (leaks.VOCABULARY, 0):
+        monkeypatch.setattr(leaks, "VOCABULARY", most)
+        monkeypatch.setattr(leaks, "BROADCAST_WINDOWS", most)
+        finder, df = run(spark, docs, items)
+        exact = finder.windows.where("way = 0")
+        assert exact.select("key").distinct().count() == len(ITEM.split()) - 11 == exact.where("item = 1").count()
+        assert {r.doc for r in finder.candidates(df, "doc_id", "text", (leaks.EXACT,)).collect()} >= {1, 2, 3}
+        assert sorted((r.doc_id, r.item_id) for r in finder.leaks(df, "doc_id", "text").collect()) == brute(docs, items)
+
+
 def test_rows_of_numbers_match_word_for_word_only(spark):
     rng = random.Random(4)
     row = lambda n: " ".join(str(rng.randrange(1000, 9999)) for _ in range(n))
